@@ -110,8 +110,8 @@ def shingle_hashes(words: np.ndarray, begin: np.ndarray, k: int) -> list[np.ndar
         if b - a >= k:
             out.append(np.unique(runs[a : b - k + 1]))
         elif b > a:
-            one = (words[a:b] * by[: b - a]).sum(dtype=U64) + U64(b - a) * by[k]
-            out.append(mix64(np.array([one], U64)))
+            one = np.array([b - a], U64) * by[k : k + 1] + (words[a:b] * by[: b - a]).sum(keepdims=True, dtype=U64)
+            out.append(mix64(one))
         else:
             out.append(np.zeros(0, U64))
     return out

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrid.llm import chat, decontam, flac, langid, mixing, pii, tokenfile, toxicity
+from sparkgrid.llm import chat, decontam, flac, langid, mixing, neardup, pii, suffix, tokenfile, toxicity
 
 #: The key of the pseudonyms; a deployment passes its own secret.
 PSEUDONYM_KEY = b"sparkgrid-example-key"
@@ -23,6 +23,15 @@ def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), k=4)
+
+
+def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.held_out(F.col("doc_id"), 3, 1)
@@ -67,7 +76,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_rotation, op4_language_id, op5_pseudonyms, op6_toxicity, op7_token_file, op8_flac, op9_decontamination, op10_source_mixing)
+    for f in (op1_chat_rotation, op2_near_duplicates, op3_repeated_strings, op4_language_id, op5_pseudonyms, op6_toxicity, op7_token_file, op8_flac, op9_decontamination, op10_source_mixing)
 }
 
 ORACLE_SQL = {
@@ -87,6 +96,28 @@ ORACLE_SQL = {
         FROM seen
         WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text)
     """,
+    "op2_near_duplicates": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 0) + 2)) AS i FROM d WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+        ), reach AS (
+            SELECT doc_id, doc_id AS other FROM d
+            UNION
+            SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+        ), named AS (
+            SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1
+        )
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM named LEFT JOIN sizes USING (doc_id)
+    """,
     "op9_decontamination": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
