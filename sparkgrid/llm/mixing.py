@@ -88,9 +88,9 @@ def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sourc
 def emit(docs: DataFrame, size: Column, **how) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as taken."""
     # A clash with COLUMNS must not cost the caller a column, so the row travels whole.
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     key, source = how.pop("key", "doc_id"), how.pop("source", "source")
-    flat = row.select("_row", F.col(f"_row.`{key}`").alias("_key"), F.col(f"_row.`{source}`").alias("_src"), size.alias("_size"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    flat = docs.select(row, F.col(f"`{key}`").alias("_key"), F.col(f"`{source}`").alias("_src"), size.alias("_size"))
     taken = mix(flat, F.col("_size"), key="_key", source="_src", **how).filter(F.col("copies") > 0)
     copies = taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
     return copies.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -94,21 +94,25 @@ def likelihoods(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray,
     return best, _log_likelihood(best, u, v, above, below, equal) - _log_likelihood(at, u, v, above, below, equal)
 
 
-def features(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """Per row: id, n_shingles, a digest of the set and its sketch (null without shingles)."""
+def features(docs: DataFrame, k: int, key: str, text: str, carry: bool = False) -> DataFrame:
+    """Per row: id, n_shingles, a digest of the set (null without shingles), and its sketch, or the row itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
             sets = shingle_hashes(*word_hashes(*bounds(piece.column("text"))), k)
-            sketches = sketch(sets)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            rows = [r.tobytes() if len(s) else None for r, s in zip(sketches, sets, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())],
-                ["id", "n", "digest", "sketch"],
-            )
+            if carry:
+                last = piece.column("row")
+            else:
+                last = pa.array([r.tobytes() if len(s) else None for r, s in zip(sketch(sets), sets, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), last], ["id", "n", "digest", "row" if carry else "sketch"])
 
-    return _rows(docs, key, text).mapInArrow(run, "id long, n long, digest binary, sketch binary")
+    rows = _rows(docs, key, text)
+    if not carry:
+        return rows.mapInArrow(run, "id long, n long, digest binary, sketch binary")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    carried = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), whole)
+    return carried.mapInArrow(run, f"id long, n long, digest binary, row {carried.schema['row'].dataType.simpleString()}")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -239,16 +243,44 @@ def link_classes(classes: DataFrame, rows: DataFrame, k: int, threshold: float)
     return roots if roots is not None else buckets.limit(0).select("cid", F.col("cid").alias("root"))
 
 
-def groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id and kept, whether the row names its component."""
-    rows = _rows(docs, key, text)
+def _named(docs: DataFrame, k: int, threshold: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The features of the rows, and (digest, root, component_id) of the classes."""
     made = stored(features(docs, k, key, text), "features")
     by_set = made.filter("n > 0").groupBy("digest").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = stored(by_set.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    roots = link_classes(classes, rows, k, threshold)
+    roots = link_classes(classes, _rows(docs, key, text), k, threshold)
     placed = classes.select("digest", "first_id", "cid").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     names = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(names, "root").select("digest", "component_id")
+    return made, placed.join(names, "root").select("digest", "root", "component_id")
+
+
+def groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id and kept, whether the row names its component."""
+    made, named = _named(docs, k, threshold, key, text)
     out = made.select("id", "n", "digest").join(named, "digest", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` less near duplicates: of each component the row with the least id stays.
+
+    Rows are told by their id where it is unique.  Those of repeated or null ids
+    are told by their shingle set, and one of each component stays.
+    """
+    made, named = _named(docs, k, threshold, key, text)
+    rooted = made.select("id", "digest").join(named, "digest", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
+    by_id = stored(rooted.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.first("component_id").alias("component_id")), "ids")
+    own = F.col(f"`{key}`").cast("long")
+    several = F.col("rows") > 1
+    gone = stored(by_id.filter(several | F.col("id").isNull() | (F.col("id") != F.col("component_id"))).select("id"), "gone")
+    out = docs.join(small_side(gone), own.eqNullSafe(F.col("id")), "left_anti")
+    again = stored(by_id.filter(several | F.col("id").isNull()).select("id"), "repeated-ids")
+    if again.isEmpty():
+        return out
+    told = features(docs.join(small_side(again), own.eqNullSafe(F.col("id")), "left_semi"), k, key, text, carry=True)
+    met = told.join(named.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"), "left")
+    alone = met.filter("digest IS NULL")
+    first = met.filter("digest IS NOT NULL").filter(F.coalesce("component_id", F.col("id")).eqNullSafe(F.col("id"))).dropDuplicates(["root"])
+    rest = alone.unionByName(first).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return out.unionByName(rest)
