@@ -67,16 +67,19 @@ def multipliers(n: int, seed: int = 0) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
 
 
-def word_hashes(data: np.ndarray, begin: np.ndarray, member: np.ndarray = NOT_BLANK) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, begin: np.ndarray, member: np.ndarray = NOT_BLANK, prefixes: tuple[int, ...] | None = None) -> tuple:
     """64-bit hashes of the lower-cased words in order, and where each text's words begin.
 
     A word is a longest run of bytes in ``member``; a run ends with its text.
+    With ``prefixes`` also, for each of these lengths, the hashes of the words'
+    first bytes, 0 for words that are not longer.
     """
     global _multipliers
     texts = len(begin) - 1
     inside = member[data]
     if not inside.any():
-        return np.zeros(0, U64), np.zeros(texts + 1, np.int64)
+        none = np.zeros(0, U64), np.zeros(texts + 1, np.int64)
+        return none if prefixes is None else (*none, [none[0] for _ in prefixes])
     edge = np.zeros(len(data) + 1, bool)
     edge[begin] = True
     before = np.empty_like(inside)
@@ -92,7 +95,19 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, member: np.ndarray = NOT_BL
     first = np.cumsum(sizes) - sizes
     place = np.arange(len(at)) - np.repeat(first, sizes)
     parts = (LOWER[data[at]].astype(U64) + U64(1)) * _multipliers[place]
-    return mix64(np.add.reduceat(parts, first) + sizes.astype(U64)), np.searchsorted(starts, begin)
+    out = mix64(np.add.reduceat(parts, first) + sizes.astype(U64)), np.searchsorted(starts, begin)
+    if prefixes is None:
+        return out
+    cut = []
+    for length in prefixes:
+        longer = np.flatnonzero(sizes > length)
+        value = np.zeros(len(sizes), U64)
+        total = np.full(len(longer), length << 40, U64)
+        for j in range(length):
+            total += parts[first[longer] + j]
+        value[longer] = mix64(total) | U64(1)
+        cut.append(value)
+    return (*out, cut)
 
 
 def shingle_hashes(words: np.ndarray, begin: np.ndarray, k: int) -> list[np.ndarray]:

@@ -29,8 +29,11 @@ from sparkgrid.llm.arrowtext import U64, bounds, byte_table, slices, word_hashes
 BUCKETS = 1 << 16
 EMBEDDING = 12
 WIDTHS = (1, 2, 3)
+PREFIXES = (4, 5, 6, 7)
 FILTERS = 8
-EPOCHS = 5
+EPOCHS = 4
+#: Documents that count against a bucket's log odds at the start.
+SHRINK = 10
 BATCH = 32
 CUT = 0.3
 #: Training rows and words at most; a hash of the id picks the rows.
@@ -45,16 +48,31 @@ NAMES = [(w, j) for w in WIDTHS for j in range(w)]
 
 
 def word_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every word, each text followed by padding, and where the texts begin."""
-    hashes, begin = word_hashes(*bounds(column), MEMBER)
-    ids = (hashes >> U64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
+    """Buckets of every word and of its beginnings, and where the texts begin.
+
+    Rows are words, each text followed by padding; the columns are the word and
+    its first 4 to 7 bytes, so inflected forms share what their stem learns.
+    """
+    hashes, begin, starts = word_hashes(*bounds(column), MEMBER, PREFIXES)
     gap = max(WIDTHS)
     texts = len(begin) - 1
-    out = np.full(len(ids) + gap * texts, PAD, np.int32)
-    out[np.arange(len(ids)) + gap * np.repeat(np.arange(texts), np.diff(begin))] = ids
+    out = np.full((len(hashes) + gap * texts, 1 + len(PREFIXES)), PAD, np.int32)
+    row = np.arange(len(hashes)) + gap * np.repeat(np.arange(texts), np.diff(begin))
+    bits = U64(64 - BUCKETS.bit_length() + 1)
+    out[row, 0] = hashes >> bits
+    for k, h in enumerate(starts):
+        out[row, k + 1] = np.where(h == 0, PAD, h >> bits)
     return out, begin + gap * np.arange(texts + 1)
 
 
+def gathered(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each word the sum of the table's rows for it and its beginnings."""
+    out = table[ids[:, 0]]
+    for k in range(1, ids.shape[1]):
+        out += table[ids[:, k]]
+    return out
+
+
 class Net:
     """Weights of the classifier; ``a`` and ``b`` scale its logit."""
 
@@ -75,9 +93,9 @@ class Net:
         """For each width the responses at every place of the padded texts."""
         out, at = [], 0
         for w in WIDTHS:
-            total = tables[at][ids]
+            total = gathered(tables[at], ids)
             for j in range(1, w):
-                total[:-j] += tables[at + j][ids[j:]]
+                total[:-j] += gathered(tables[at + j], ids[j:])
             out.append(total)
             at += w
         return out
@@ -103,7 +121,7 @@ class Net:
         n = np.bincount(labels, minlength=2)
         odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
         seen = counts.sum(axis=0)
-        self.embedding[:, 0] = np.where(seen > 0, odds * seen / (seen + 4), 0)
+        self.embedding[:, 0] = np.where(seen > 0, odds * seen / (seen + SHRINK), 0)
         self.embedding[PAD] = 0
         self.bias[0, 0] = -1.0
         cat = np.concatenate(self.filters, axis=1)
@@ -127,7 +145,7 @@ class Net:
                 sizes = np.array([len(docs[i]) for i in picked])
                 ids = np.concatenate([docs[i] for i in picked])
                 begin = np.concatenate([[0], np.cumsum(sizes)])
-                vectors = self.embedding[ids]
+                vectors = gathered(self.embedding, ids)
                 raw = vectors @ cat
                 k, best, value = 0, [], []
                 for w, b in zip(WIDTHS, self.bias, strict=True):
@@ -155,8 +173,10 @@ class Net:
                         place = np.minimum(where + j, len(ids) - 1)
                         block = slice((k + j) * FILTERS, (k + j + 1) * FILTERS)
                         g_cat[:, block] = np.einsum("dfe,df->ef", vectors[place], g)
-                        rows.append(ids[place].ravel())
-                        grads.append((g[:, :, None] * cat[:, block].T[None]).reshape(-1, EMBEDDING))
+                        change = (g[:, :, None] * cat[:, block].T[None]).reshape(-1, EMBEDDING)
+                        for column in range(ids.shape[1]):
+                            rows.append(ids[place, column].ravel())
+                            grads.append(change)
                     k += w
                 adam("cat", cat, g_cat, t)
                 adam("bias", self.bias, g_bias, t)
@@ -225,7 +245,7 @@ def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str =
     net.rate = float(labels.mean()) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
         return net, {"": CUT}
-    docs = [np.frombuffer(x, "<i4") for x in table.column("ids").to_pylist()]
+    docs = [np.frombuffer(x, "<i4").reshape(-1, 1 + len(PREFIXES)) for x in table.column("ids").to_pylist()]
     h = table.column("h").to_numpy()
     kept = (h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(6) == 0
     if len(set(labels[kept].tolist())) < 2 or len(set(labels[~kept].tolist())) < 2:
