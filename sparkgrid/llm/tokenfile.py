@@ -33,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkgrid.llm.arrowtext import slices
+from sparkgrid.llm.arrowtext import U64, mix64, multipliers, slices
 from sparkgrid.llm.scratch import shared_dir
 
 BLOCK = 128
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 17
-#: Pieces of text whose ids are remembered; the memory is emptied when full.
-REMEMBERED = 150_000
+#: Places of the table of remembered pre-tokens, and ids held for them; it is emptied beyond.
+SLOT_BITS = 20
+POOL_IDS = 6_000_000
 MAGIC = b"PFR1"
 
 
@@ -100,67 +101,165 @@ def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     return grid.reshape(-1)[: n - first * BLOCK]
 
 
-class Encoder:
-    """Ids of whole texts by the tokenizers library, pieces remembered.
+#: Classes of bytes in byte-level BPE's pre-tokens; 5 is for what numpy does not settle here.
+BLANK, SPACE, LETTER, DIGIT, MARK, UNSURE = range(6)
+CLASSES = np.full(256, MARK, np.uint8)
+CLASSES[[9, 10, 13]] = SPACE
+CLASSES[32] = BLANK
+CLASSES[48:58] = DIGIT
+CLASSES[[*range(65, 91), *range(97, 123)]] = LETTER
+CLASSES[[*range(9), 11, 12, *range(14, 32), 127]] = UNSURE
+CLASSES[128:] = LETTER
+#: Of other characters only the letters U+00C0 to U+024F, less two signs, are settled: by their first byte.
+CLASSES[[0xC2, *range(0xCA, 0x100)]] = UNSURE
+CLASSES[[0xC0, 0xC1]] = UNSURE
+PROBE = "It's 3 o'clock,  she'll say.\n\n\t Était-ce (vrai)? 12,5 % -- x_1 'd \n y"
+
+
+def pretokens(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pre-tokens of texts start, and which texts have bytes that this does not settle.
 
-    Byte-level BPE never joins across a blank before a character that is not
-    blank, so a text whose blanks are single ones is encoded piece by piece, each
-    piece with the blank before it, and a piece seen before is looked up.  Pieces
-    not seen go to the library in one text, kept apart by a line break; pieces
-    with line breaks of their own and all other texts go to it whole.
+    A pre-token is a run of letters, of digits or of marks with a blank before it,
+    a contraction, or white space; of several white spaces before something else
+    the last is apart.
+    """
+    kind = CLASSES[data]
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[begin] = True
+    before = np.empty_like(kind)
+    before[0], before[1:] = SPACE, kind[:-1]
+    before[edge[:-1]] = SPACE
+    after = np.empty_like(kind)
+    after[-1], after[:-1] = SPACE, kind[1:]
+    white = kind <= SPACE
+    ends = edge[1:]
+    starts = np.where(white, (before > SPACE) | edge[:-1] | ((after > SPACE) & ~ends), (kind != before) & (before != BLANK))
+    starts[begin[:-1][np.diff(begin) > 0]] = True
+    unsure = kind == UNSURE
+    sign = np.flatnonzero(data == 0xC3)
+    sign = sign[sign + 1 < n]
+    unsure[sign[(data[sign + 1] == 0x97) | (data[sign + 1] == 0xB7)]] = True
+    unsure[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)  # what begins like a special token
+    quote = np.flatnonzero((data == 39) & starts)
+    if len(quote):
+        room = np.searchsorted(begin, quote, "right")
+        left = begin[np.minimum(room, len(begin) - 1)] - quote
+        one = data[np.minimum(quote + 1, n - 1)]
+        two = data[np.minimum(quote + 2, n - 1)]
+        pair = one.astype(np.int32) << 8 | two
+        short = (left > 1) & np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = (left > 2) & np.isin(pair, [0x7265, 0x7665, 0x6C6C])  # re, ve, ll
+        for met, size in ((long & ~short, 3), (short, 2)):
+            at = quote[met]
+            starts[at + 1] = False
+            if size == 3:
+                starts[at + 2] = False
+            at = at[left[met] > size] + size
+            # A blank after it starts something already; anything else does now.
+            starts[at] = True
+    places = np.flatnonzero(starts)
+    doubt = np.add.reduceat(np.append(unsure, False), np.minimum(begin[:-1], n)) > 0
+    return places, doubt & (np.diff(begin) > 0)
+
+
+class Encoder:
+    """Ids of whole texts by the tokenizers library, pre-tokens remembered.
+
+    Byte-level BPE merges within pre-tokens alone, so a text's ids are those of
+    its pre-tokens in a row.  Pre-tokens are cut and hashed (128 bits) in numpy and
+    looked up in a table of fixed size; those not in it go to the library in one
+    text, kept apart by line breaks.  Texts that the cutting does not settle go to
+    it whole, and so does every text if a probe shows that the vocabulary's
+    pre-tokens are others.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.apart = self.ids(["\n"])[0].tolist() if path else []
+        self.forget()
+        self.by = [multipliers(64, seed) for seed in (11, 12)]
+        self.apart = self.ids(["\n"])[0]
+        self.cuts = len(self.apart) == 1
+        self.cuts = self.cuts and self.encode([PROBE])[0].tobytes() == self.ids([PROBE])[0].tobytes()
+
+    def forget(self) -> None:
+        self.slots = np.zeros((3, 1 << SLOT_BITS), U64)  # two hashes; where in the pool, and how many
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4") for x in found]
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        plain, other = [], []
-        for p in pieces:
-            (other if any(c in p for c in "\n\r\t\x0b\x0c<") or not p.isascii() and any(c.isspace() for c in p[1:]) else plain).append(p)
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            (flat,) = self.ids(["\n".join(some)])
-            cuts = np.flatnonzero(flat == self.apart[0])
-            if len(cuts) != len(some) - 1:
-                other += some
-                continue
-            edges = [-1, *cuts.tolist(), len(flat)]
-            self.known.update((p, flat[a + 1 : b].tobytes()) for p, a, b in zip(some, edges[:-1], edges[1:], strict=True))
-        if other:
-            self.known.update((p, x.tobytes()) for p, x in zip(other, self.ids(other), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        whole = []
-        for i, text in enumerate(texts):
-            pieces = text.split(" ")
-            if len(pieces) < 4 or not all(p and not p[0].isspace() for p in pieces):
-                whole.append(i)
-            else:
-                split.append((i, [pieces[0], *[" " + p for p in pieces[1:]]]))
-        fresh = {p for _, pieces in split for p in pieces if p not in self.known}
-        if fresh:
-            if len(self.known) + len(fresh) > REMEMBERED:
-                self.known.clear()
-                fresh = {p for _, pieces in split for p in pieces}
-            self.learn(list(fresh))
-        for i, pieces in split:
-            out[i] = b"".join(map(self.known.__getitem__, pieces))
+    def keep(self, ids: np.ndarray) -> int:
+        """Append to the pool; returns the place."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), "<u4")])
+        at = self.used
+        self.pool[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def learned(self, words: list[bytes]) -> np.ndarray:
+        """Place in the pool << 24 | number of ids, for each of distinct pre-tokens."""
+        out = np.zeros(len(words), U64)
+        space = np.array([w.isspace() for w in words], bool)
+        plain = np.flatnonzero(~space)
+        (flat,) = self.ids([b"\n".join([words[i] for i in plain]).decode()])
+        cuts = np.flatnonzero(flat == self.apart[0])
+        if len(cuts) == len(plain) - 1:
+            at = self.keep(flat)
+            edges = np.concatenate([[-1], cuts, [len(flat)]])
+            out[plain] = ((edges[:-1] + 1 + at) << 24 | (np.diff(edges) - 1)).astype(U64)
+            other = np.flatnonzero(space)
+        else:
+            other = np.arange(len(words))
+        for i, ids in zip(other, self.ids([words[i].decode() for i in other]) if len(other) else [], strict=True):
+            out[i] = self.keep(ids) << 24 | len(ids)
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        raw = [t.encode() for t in texts]
+        flat = b"".join(raw)
+        if not self.cuts or not flat:
+            return self.ids(texts)
+        data = np.frombuffer(flat, np.uint8)
+        begin = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        starts, doubt = pretokens(data, begin)
+        sizes = np.diff(np.append(starts, len(data)))
+        longest = int(sizes.max())
+        if longest > len(self.by[0]):
+            self.by = [multipliers(longest, seed) for seed in (11, 12)]
+        place = np.arange(len(data)) - np.repeat(starts, sizes)
+        values = data.astype(U64) + U64(1)
+        first, second = (mix64(np.add.reduceat(values * by[place], starts) + sizes.astype(U64)) for by in self.by)
+        if self.used > POOL_IDS:
+            self.forget()
+        slot = (first >> U64(64 - SLOT_BITS)).astype(np.int64)
+        entry = self.slots[2][slot]
+        lost = np.flatnonzero((self.slots[0][slot] != first) | (self.slots[1][slot] != second) | (entry == 0))
+        if len(lost):
+            # Doubtful texts' cuts may split a character; they are encoded whole.
+            lost = lost[~doubt[np.searchsorted(begin, starts[lost], "right") - 1]]
+        if len(lost):
+            _, at, back = np.unique(first[lost], return_index=True, return_inverse=True)
+            one = lost[at]
+            clash = second[lost] != second[one][back]  # of 64 bits, not of 128
+            doubt[np.searchsorted(begin, starts[lost[clash]], "right") - 1] = True
+            fresh = self.learned([flat[a : a + n] for a, n in zip(starts[one].tolist(), sizes[one].tolist(), strict=True)])
+            entry[lost] = fresh[back]
+            self.slots[0][slot[one]], self.slots[1][slot[one]], self.slots[2][slot[one]] = first[one], second[one], fresh
+        counts = (entry & U64((1 << 24) - 1)).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.pool[np.arange(total[-1]) + np.repeat((entry >> U64(24)).astype(np.int64) - total[:-1], counts)]
+        edges = total[np.searchsorted(starts, begin)].tolist()
+        out = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        whole = np.flatnonzero(doubt).tolist()
         for i, x in zip(whole, self.ids([texts[i] for i in whole]) if whole else [], strict=True):
-            out[i] = x.tobytes()
-        return out  # type: ignore[return-value]
+            out[i] = x
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -185,17 +284,17 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, key: str
     tie = F.xxhash64("text")
     # The hash as a second key keeps one repeated id from filling a task.
     ranged = rows.repartitionByRange(F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
-    closing = np.array([end_id], "<u4").tobytes()
+    closing = np.array([end_id], "<u4")
 
     def encode(shards: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         counts: list[int] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         start, number = 0, 0
 
         def segment() -> pa.RecordBatch:
             nonlocal start, number
-            flat = np.frombuffer(b"".join(parts), "<u4")
+            flat = np.concatenate(parts)
             row = pa.RecordBatch.from_pydict(
                 {"shard": [shard], "segment": [number], "start": [start], "doc_ids": [ids.copy()], "counts": [counts.copy()], "image": [pack(flat)]},
                 schema=pa.schema(
@@ -214,7 +313,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, key: str
             texts = [t or "" for t in piece.column("text").to_pylist()]
             for i, x in zip(piece.column("id").to_pylist(), encoder(vocabulary).encode(texts), strict=True):
                 ids.append(i)
-                counts.append(len(x) // 4 + 1)
+                counts.append(len(x) + 1)
                 parts += (x, closing)
                 held += counts[-1]
                 if held >= SEGMENT_IDS:
