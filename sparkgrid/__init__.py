@@ -1,0 +1 @@
+"""sparkgrid: gridded geospatial rasters as Spark DataFrames."""
