@@ -48,7 +48,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.held_out(F.col("doc_id"), 4, 2)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~out)
-    net, thresholds = toxicity.train(docs.select("doc_id", "text", "lang").join(labels, "doc_id"))
+    net, thresholds = toxicity.train(docs, labels)
     scored = toxicity.score(docs.select("doc_id", out.alias("held_out"), "text", "lang"), net, thresholds)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"), "flagged")
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrid.llm.arrowtext import U64, bounds, byte_table, slices, word_hashes
+from sparkgrid.llm.scratch import small_side, stored
 
 BUCKETS = 1 << 16
 EMBEDDING = 12
@@ -220,19 +221,33 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, default: float = CUT)
     return float((s[i] + below) / 2) if y.sum() else default
 
 
-def train(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", lang: str = "lang", max_rows: int = MAX_TRAIN_ROWS, max_words: int = MAX_TRAIN_WORDS) -> tuple[Net, dict[str, float]]:
-    """The classifier and the thresholds by language ("" for all) from labelled rows.
+def labelled(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, lang: str, max_rows: int) -> DataFrame:
+    """Texts of the labels, or of a hash sample of about ``max_rows`` of them, as a stored table (h, text, y, lang).
+
+    The sample is taken before the join, so what is broadcast has a bound and the
+    texts are not shuffled.
+    """
+    known = labels.select(F.col(f"`{key}`").alias("_key"), F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h"), F.col(f"`{label}`").cast("int").alias("y"))
+    known = known.filter(F.col("y").isin(0, 1))
+    n = known.count()
+    if n > max_rows:
+        known = known.filter(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+    met = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    return stored(met.join(small_side(stored(known, "labels")), F.col("_id") == F.col("_key")).select("h", "text", "y", "lang"), "labelled")
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", lang: str = "lang", max_rows: int = MAX_TRAIN_ROWS, max_words: int = MAX_TRAIN_WORDS) -> tuple[Net, dict[str, float]]:
+    """The classifier and the thresholds by language ("" for all) from labels of documents.
 
     If there are more rows or words than the bounds, a hash of the id picks a
     share of the rows; each row taken counts whole.  What comes to the driver is
-    at most about ``max_words`` bucket numbers.
+    at most about ``max_words`` words' bucket numbers.
     """
-    some = rows.select(F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("int").alias("y"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    some = some.filter(F.col("y").isin(0, 1))
-    n, size = some.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    share = min(1.0, max_rows / max(n, 1), max_words * 5 / max(size, 1))
+    some = labelled(docs, labels, text, label, key, lang, max_rows)
+    (size,) = some.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    share = min(1.0, max_words * 5 / max(size, 1))
     if share < 1:
-        some = some.filter(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * share))
+        some = some.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int((1 << 30) * share))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
