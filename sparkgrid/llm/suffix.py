@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrid.llm.arrowtext import U64, bounds, mix64, slices
-from sparkgrid.llm.scratch import stored
+from sparkgrid.llm.scratch import discard, stored
 
 LENGTH = 200
 GRAM = 40
@@ -104,11 +104,12 @@ def stretches(data: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, last, at, grams[at], whole
 
 
-STRETCHES = "doc_id long, text_hash long, first int, reach int, anchor int, gram long, whole long"
+#: A stretch's place is first start << 16 | further starts << 8 | anchor less first start.
+STRETCHES = "doc_id long, text_hash long, place long, gram long, whole long"
 
 
 def sample(rows: DataFrame) -> DataFrame:
-    """The stretches of every text: start, number of further starts, place of the anchor, hashes."""
+    """The stretches of every text: their place and hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
@@ -123,9 +124,7 @@ def sample(rows: DataFrame) -> DataFrame:
                 [
                     piece.column("doc_id").take(owner),
                     piece.column("text_hash").take(owner),
-                    pa.array(first.astype(np.int32)),
-                    pa.array((last - first).astype(np.int32)),
-                    pa.array((anchor - first).astype(np.int32)),
+                    pa.array(first << 16 | (last - first) << 8 | (anchor - first)),
                     pa.array(gram.view(np.int64)),
                     pa.array(whole.view(np.int64)),
                 ],
@@ -202,7 +201,8 @@ def cut_pieces(joined: DataFrame) -> DataFrame:
             for a, b, doc_id, text_hash, opened in rows:
                 text = data[a:b].tobytes()
                 for s in opened:
-                    first, last, anchor = s["first"], s["first"] + s["reach"], s["first"] + s["anchor"]
+                    first = s["place"] >> 16
+                    last, anchor = first + (s["place"] >> 8 & 255), first + (s["place"] & 255)
                     for block in range((anchor - last) // PIECE, (anchor - first) // PIECE + 1):
                         low, high = max(first, anchor - PIECE * block - PIECE + 1), min(last, anchor - PIECE * block)
                         core = text[anchor - PIECE * block : anchor - PIECE * block - PIECE + 1 + LENGTH]
@@ -274,19 +274,21 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     found = stored(sample(rows), "stretches")
     grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("n > 1")
     met = stored(found.join(grams.select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "gram"), "met")
-    place = ("doc_id", "text_hash", "first", "reach", "anchor")
+    discard(found)
     mixed = met.filter("mixed")
-    classes = mixed.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in place])
+    classes = mixed.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "text_hash", "place")])
     classes = stored(classes, "stretch-classes")
     again = mixed.join(classes.filter("n > 1").select("gram", "whole"), ["gram", "whole"])
-    alike = met.filter("NOT mixed").select(*place).unionByName(again.select(*place))
-    settled = alike.select("doc_id", "text_hash", F.col("first").alias("from"), (F.col("first") + F.col("reach")).alias("upto"))
-    entry = F.struct("first", "reach", "anchor", (F.col("n") > 1).alias("settled"))
-    opened = classes.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set(entry).alias("open"))
+    alike = met.filter("NOT mixed").unionByName(again.select(met.columns))
+    first = F.shiftright("place", 16)
+    whole = alike.select("doc_id", "text_hash", first.cast("int").alias("from"), (first + F.shiftright("place", 8).bitwiseAND(255)).cast("int").alias("upto"))
+    opened = classes.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("place", (F.col("n") > 1).alias("settled"))).alias("open"))
+    # A repeated row's stretches all occur twice, so its pieces, which come twice too, are all settled.
     joined = rows.join(opened, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
-    # A repeated row would bring its pieces twice.
-    once = joined.select("doc_id", "text_hash", "open", "text").dropDuplicates(["doc_id", "text_hash"])
-    return settled.unionByName(scan_pieces(cut_pieces(once)))
+    edges = scan_pieces(cut_pieces(joined.select("doc_id", "text_hash", "open", "text")))
+    out = stored(whole.unionByName(edges), "ranges")
+    discard(met, classes)
+    return out
 
 
 def union_spans(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -305,7 +307,7 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     rest = [c for c in docs.columns if c not in ADDED]
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(raw).alias("text_hash"), raw.alias("text"))
-    ranges = stored(repeated_ranges(rows.filter(F.octet_length("text") >= LENGTH)), "ranges")
+    ranges = repeated_ranges(rows.filter(F.octet_length("text") >= LENGTH))
     by_doc = ranges.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct(F.col("from").alias("a"), F.col("upto").alias("b"))).alias("_ranges"))
     joined = docs.select(*[F.col(f"`{c}`") for c in rest]).join(by_doc, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(raw) == F.col("_hash")), "left").select(*[F.col(f"`{c}`") for c in rest], "_ranges")
 
