@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrid.llm.arrowtext import U64, bounds, multipliers, shingle_hashes, slices, word_hashes
-from sparkgrid.llm.scratch import small_side, stored
+from sparkgrid.llm.scratch import discard, small_side, stored
 
 #: Base, rate and largest value of the registers: bytes that serve sets of 1 to 10^9 shingles.
 BASE, RATE, LARGEST = 1.1, 20.0, 255
@@ -143,8 +143,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, th
     """The pairs whose full sets are similar enough; texts of the classes' first documents are fetched by id."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     chosen = stored(classes.select("cid", "first_id", "digest").join(wanted, "cid"), "wanted")
-    found = rows.join(small_side(chosen), F.col("id").eqNullSafe(F.col("first_id"))).select("cid", "digest", "text")
-    texts = stored(found, "texts")
+    texts = stored(rows.join(small_side(chosen), F.col("id").eqNullSafe(F.col("first_id"))).select("cid", "digest", "text"), "texts")
     side = lambda s: texts.select(*[F.col(c).alias(f"{c}_{s}") for c in texts.columns])
     both = pairs.join(side("b"), F.col("b") == F.col("cid_b")).join(side("a"), F.col("a") == F.col("cid_a"))
     hundredths = round(threshold * 100)
@@ -190,8 +189,10 @@ def components(links: DataFrame) -> DataFrame:
         met = labels.join(near, "cid").select("cid", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         ahead = labels.select(F.col("cid").alias("root"), F.col("root").alias("next"))
         moved = met.join(ahead, "root").select("cid", "old", F.least("root", "next").alias("root"))
-        labels = stored(moved, "labels")
+        before, labels = labels, stored(moved, "labels")
+        discard(before)
         if labels.filter("old <> root").isEmpty():
+            discard(ways)
             return labels.select("cid", "root")
 
 
