@@ -1,0 +1 @@
+"""Nothing streams here: rasters are batch relations, and the format defines no streaming reads."""
