@@ -42,9 +42,10 @@ from sparkgrid.llm.scratch import discard, small_side, stored
 BASE, RATE, LARGEST = 1.1, 20.0, 255
 BANDS, ROWS = 40, 6
 #: Fall of the log likelihood from its best to that of the threshold beyond which a pair is dropped.
-LIKELIHOOD_GAP = 20.0
-#: Pairs left for each bucket row at which they are compared, and rounds before that anyway.
-FEW, MOST_ROUNDS = 2, 8
+LIKELIHOOD_GAP = 15.0
+#: Pairs left for each bucket row, or share of a round's pairs that are links, below which all
+#: that are left are compared, and rounds before that anyway.
+FEW, LEAST_YIELD, MOST_ROUNDS = 1, 0.02, 8
 
 
 def sketch(sets: list[np.ndarray], registers: int = BANDS * ROWS) -> np.ndarray:
@@ -197,11 +198,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(band, cid) of the buckets with two classes or more."""
+    """(band, cid, n, weight) of the buckets with two classes or more; weight is how many classes a class meets."""
     bands = F.array(*[F.xxhash64(F.substring("sketch", i * ROWS + 1, ROWS), F.lit(i)) for i in range(BANDS)])
-    rows = classes.select("cid", F.explode(bands).alias("band"))
-    several = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
-    return stored(rows.join(several, "band"), "buckets")
+    rows = classes.select("cid", "n", F.explode(bands).alias("band"))
+    several = stored(rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "bands")
+    met = stored(rows.join(several, "band"), "met")
+    weights = met.groupBy("cid").agg(F.sum("c").alias("weight"))
+    out = stored(met.join(weights, "cid").select("band", "cid", "n", "weight"), "buckets")
+    discard(several, met)
+    return out
 
 
 def link_classes(classes: DataFrame, rows: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -211,6 +216,7 @@ def link_classes(classes: DataFrame, rows: DataFrame, k: int, threshold: float)
     links: DataFrame | None = None
     roots: DataFrame | None = None
     tested: DataFrame | None = None
+    found = 1.0
     for turn in range(MOST_ROUNDS + 1):
         rooted = buckets.withColumn("root", F.col("cid")) if roots is None else buckets.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         if turn:
@@ -220,22 +226,29 @@ def link_classes(classes: DataFrame, rows: DataFrame, k: int, threshold: float)
         left = by_root.groupBy("band").agg(((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
         if not left:
             break
-        last = turn > 0 and (left <= FEW * size or turn == MOST_ROUNDS)
+        last = turn > 0 and (left <= FEW * size or found < LEAST_YIELD or turn == MOST_ROUNDS)
+        near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (threshold - 1e-9)
         if last:
-            other = rooted.select("band", F.col("cid").alias("a"), F.col("root").alias("root_a"))
-            pairs = rooted.join(other, "band").filter("a < cid AND root <> root_a").select("a", F.col("cid").alias("b"))
+            other = rooted.select("band", F.col("cid").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
+            pairs = rooted.join(other, "band").filter((F.col("a") < F.col("cid")) & (F.col("root") != F.col("root_a")) & near("n", "n_a")).select("a", F.col("cid").alias("b"))
         else:
-            # Another order of the classes each round, the same in all buckets: few leaders, few pairs.
-            rank = F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid"), F.col("root"))
-            leaders = rooted.groupBy("band").agg(F.min(rank).alias("l")).select("band", F.col("l.cid").alias("a"), F.col("l.root").alias("root_a"))
-            pairs = rooted.join(leaders, "band").filter("a <> cid AND root <> root_a").select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b"))
+            # First the class that meets most, as the origin of many copies does; then another order
+            # each round.  The order is the same in all buckets: few leaders, few pairs.
+            order = -F.col("weight") if turn == 0 else F.xxhash64("cid", F.lit(turn))
+            rank = F.struct(order.alias("h"), F.col("cid"), F.col("root"), F.col("n"))
+            leaders = rooted.groupBy("band").agg(F.min(rank).alias("l")).select("band", F.col("l.cid").alias("a"), F.col("l.root").alias("root_a"), F.col("l.n").alias("n_a"))
+            met = rooted.join(leaders, "band").filter((F.col("a") != F.col("cid")) & (F.col("root") != F.col("root_a")) & near("n", "n_a"))
+            pairs = met.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         likely = stored(_plausible(pairs, classes, threshold), "likely")
         fresh = stored(_confirmed(likely, classes, rows, k, threshold), "links")
-        if not fresh.isEmpty():
+        discard(likely)
+        linked, asked = fresh.count(), pairs.count()
+        found = linked / max(1, asked)
+        if linked:
             links = fresh if links is None else links.union(fresh)
             roots = components(links)
         if last:

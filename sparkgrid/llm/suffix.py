@@ -273,8 +273,10 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     """(doc_id, text_hash, from, upto): starts whose 200 bytes start elsewhere too; rows has doc_id, text_hash and text."""
     found = stored(sample(rows), "stretches")
     grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("n > 1")
-    met = stored(found.join(grams.select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "gram"), "met")
-    discard(found)
+    # Stored, so that the join reads two plain sides, of which Spark splits a hot gram's.
+    grams = stored(grams.select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "grams")
+    met = stored(found.join(grams, "gram"), "met")
+    discard(found, grams)
     mixed = met.filter("mixed")
     classes = mixed.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "text_hash", "place")])
     classes = stored(classes, "stretch-classes")
