@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Slices of a batch hold about so many bytes of text (or one text, if longer).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -11,9 +11,10 @@ implausible by ``LIKELIHOOD_GAP``; what remains is compared on the full sets.
 
 No bucket is expanded into all of its pairs.  Each round every bucket pairs its
 members with one leader, the links found so far are made components, and buckets
-that lie within one component are done.  Once the pairs left between components
-of a bucket are few against the rows, those are compared as well, so that every
-pair that shares a bucket is linked, rejected, or already connected.
+that lie within one component are done.  When leaders find little more, the
+classes of open buckets are compared across components in numpy, by block where a
+bucket is large, and only plausible pairs become rows.  So every pair that shares
+a bucket is linked, rejected, or already connected.
 
 The chance that a pair at exactly the threshold shares no band of the default 40
 of 6 registers is about 2e-6.
@@ -42,10 +43,10 @@ from sparkgrid.llm.scratch import discard, small_side, stored
 BASE, RATE, LARGEST = 1.1, 20.0, 255
 BANDS, ROWS = 40, 6
 #: Fall of the log likelihood from its best to that of the threshold beyond which a pair is dropped.
-LIKELIHOOD_GAP = 15.0
-#: Pairs left for each bucket row, or share of a round's pairs that are links, below which all
-#: that are left are compared, and rounds before that anyway.
-FEW, LEAST_YIELD, MOST_ROUNDS = 1, 0.02, 8
+LIKELIHOOD_GAP = 9.0
+#: Share of a round's plausible pairs that are links below which all that is left is compared,
+#: rounds before that anyway, and classes of a block of a large bucket.
+LEAST_YIELD, MOST_ROUNDS, BLOCK = 0.5, 6, 512
 
 
 def sketch(sets: list[np.ndarray], registers: int = BANDS * ROWS) -> np.ndarray:
@@ -198,39 +199,104 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(band, cid, n, weight) of the buckets with two classes or more; weight is how many classes a class meets."""
+    """(slot, band, cid, n, weight) of the buckets with two classes or more; weight is how many classes a class meets."""
     bands = F.array(*[F.xxhash64(F.substring("sketch", i * ROWS + 1, ROWS), F.lit(i)) for i in range(BANDS)])
-    rows = classes.select("cid", "n", F.explode(bands).alias("band"))
+    rows = classes.select("cid", "n", F.posexplode(bands).alias("slot", "band"))
     several = stored(rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "bands")
     met = stored(rows.join(several, "band"), "met")
     weights = met.groupBy("cid").agg(F.sum("c").alias("weight"))
-    out = stored(met.join(weights, "cid").select("band", "cid", "n", "weight"), "buckets")
+    out = stored(met.join(weights, "cid").select("slot", "band", "cid", "n", "weight"), "buckets")
     discard(several, met)
     return out
 
 
+def _remaining(rooted: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Plausible pairs (a, b) of a bucket's classes in different components.
+
+    The classes of a bucket come with their sketches to one place, those of a
+    large bucket in blocks of about BLOCK, each pair of blocks to a place of its
+    own.  There all are compared in numpy, and only plausible pairs become rows.
+    """
+    sizes = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("c"))
+    blocks = sizes.select("band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    spread = rooted.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = spread.select("slot", "band", "cid", "n", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    rows = keyed.join(classes.select("cid", "sketch"), "cid")
+    group = ("band", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        before = None
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            keys = list(zip(*(columns[c] for c in group), strict=True))
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if keys[a] != before:
+                    if held and (out := _compared(held, threshold)) is not None:
+                        yield out
+                    held, before = {c: [] for c in columns}, keys[a]
+                for c, values in columns.items():
+                    held[c] += values[a:b]
+        if held and (out := _compared(held, threshold)) is not None:
+            yield out
+
+    dealt = rows.repartition(*group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _compared(bucket: dict[str, list], threshold: float) -> pa.RecordBatch | None:
+    """The plausible pairs of one bucket, or of two blocks of it."""
+    cid, root, own = (np.array(bucket[c]) for c in ("cid", "root", "own"))
+    n = np.array(bucket["n"], float)
+    if len(cid) < 2:
+        return None
+    sketches = np.frombuffer(b"".join(bucket["sketch"]), np.uint8).reshape(len(cid), -1)
+    slot = bucket["slot"][0]
+    within = bucket["lo"][0] == bucket["hi"][0]
+    left, right = [], []
+    for x in range(len(cid) - 1):
+        y = np.arange(x + 1, len(cid))
+        met = (root[y] != root[x]) & (np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y]) * (threshold - 1e-9))
+        if not within:
+            met &= own[y] != own[x]
+        y = y[met]
+        if len(y) and slot:
+            # A pair is judged in the first band that it shares.
+            same = (sketches[y, : slot * ROWS] == sketches[x, : slot * ROWS]).reshape(len(y), slot, ROWS).all(axis=2).any(axis=1)
+            y = y[~same]
+        left.append(np.full(len(y), x))
+        right.append(y)
+    a, b = np.concatenate(left), np.concatenate(right)
+    keep = []
+    for at in range(0, len(a), 4096):
+        i, j = a[at : at + 4096], b[at : at + 4096]
+        best, gap = likelihoods(sketches[i], sketches[j], n[i], n[j], threshold)
+        keep.append((best >= threshold) | (gap <= LIKELIHOOD_GAP))
+    if not keep:
+        return None
+    keep = np.concatenate(keep)
+    low, high = np.minimum(cid[a], cid[b])[keep], np.maximum(cid[a], cid[b])[keep]
+    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"]) if len(low) else None
+
+
 def link_classes(classes: DataFrame, rows: DataFrame, k: int, threshold: float) -> DataFrame:
     """(cid, root) of the classes that are linked with others."""
     buckets = _buckets(classes)
-    size = buckets.count()
     links: DataFrame | None = None
     roots: DataFrame | None = None
     tested: DataFrame | None = None
     found = 1.0
+    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (threshold - 1e-9)
     for turn in range(MOST_ROUNDS + 1):
+        last = turn == MOST_ROUNDS or found < LEAST_YIELD
         rooted = buckets.withColumn("root", F.col("cid")) if roots is None else buckets.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         if turn:
             split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
             rooted = stored(rooted.join(split, "band"), "open-buckets")
-        by_root = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).cast("double").alias("c"))
-        left = by_root.groupBy("band").agg(((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
-        if not left:
-            break
-        last = turn > 0 and (left <= FEW * size or found < LEAST_YIELD or turn == MOST_ROUNDS)
-        near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (threshold - 1e-9)
         if last:
-            other = rooted.select("band", F.col("cid").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-            pairs = rooted.join(other, "band").filter((F.col("a") < F.col("cid")) & (F.col("root") != F.col("root_a")) & near("n", "n_a")).select("a", F.col("cid").alias("b"))
+            likely = _remaining(rooted, classes, threshold)
         else:
             # First the class that meets most, as the origin of many copies does; then another order
             # each round.  The order is the same in all buckets: few leaders, few pairs.
@@ -238,22 +304,20 @@ def link_classes(classes: DataFrame, rows: DataFrame, k: int, threshold: float)
             rank = F.struct(order.alias("h"), F.col("cid"), F.col("root"), F.col("n"))
             leaders = rooted.groupBy("band").agg(F.min(rank).alias("l")).select("band", F.col("l.cid").alias("a"), F.col("l.root").alias("root_a"), F.col("l.n").alias("n_a"))
             met = rooted.join(leaders, "band").filter((F.col("a") != F.col("cid")) & (F.col("root") != F.col("root_a")) & near("n", "n_a"))
-            pairs = met.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b"))
-        pairs = pairs.distinct()
+            pairs = met.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
+            likely = _plausible(pairs, classes, threshold)
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        likely = stored(_plausible(pairs, classes, threshold), "likely")
+            likely = likely.join(tested, ["a", "b"], "left_anti")
+        likely = stored(likely, "likely")
         fresh = stored(_confirmed(likely, classes, rows, k, threshold), "links")
-        discard(likely)
-        linked, asked = fresh.count(), pairs.count()
+        linked, asked = fresh.count(), likely.count()
         found = linked / max(1, asked)
         if linked:
             links = fresh if links is None else links.union(fresh)
             roots = components(links)
         if last:
             break
-        tested = pairs if tested is None else tested.union(pairs)
+        tested = likely if tested is None else tested.union(likely)
     return roots if roots is not None else buckets.limit(0).select("cid", F.col("cid").alias("root"))
 
 

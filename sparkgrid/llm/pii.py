@@ -158,7 +158,7 @@ def _luhn(text: str) -> bool:
 
 KINDS: dict[str, tuple[str, Callable[[str], bool], Callable[[str, bytes, bool], str]]] = {
     "email": (r"(?<![\w.%+-])[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", lambda t: True, lambda t, k, b: permute(t.partition("@")[0], k, "email:" + t.partition("@")[2].lower(), back=b) + "@" + t.partition("@")[2]),
-    "secret": (r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])", lambda t: bool(re.search("[A-Fa-f]", t)), lambda t, k, b: permute(t, k, "secret", (HEX[t.upper() == t],), b)),
+    "secret": (r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])", lambda t: bool(re.search("[A-Fa-f]", t) and re.search("[0-9]", t)), lambda t, k, b: permute(t, k, "secret", (HEX[t.upper() == t],), b)),
     "ip": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ip_valid, _ip),
     "date": (r"(?<!\d)(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?!\d)", lambda t: _date_parts(t) is not None, _date),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn_valid, lambda t, k, b: _walk(t, k, "ssn", _ssn_valid, b)),
@@ -175,7 +175,7 @@ def _phone(text: str, key: bytes, back: bool) -> str:
 
 
 #: A text without any of these holds nothing to find.
-HINT = re.compile(r"\d{2}|@|[0-9A-Fa-f]{32}")
+HINT = re.compile(r"\d.?\d|@|[0-9A-Fa-f]{32}")
 FINDERS = {kind: re.compile(pattern) for kind, (pattern, _, _) in KINDS.items()}
 
 

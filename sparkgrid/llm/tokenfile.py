@@ -86,6 +86,7 @@ def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     starts, least, width = take("<u4", blocks + 1), take("<u4", blocks), take("u1", blocks)
     outliers, place, high = take("<u4", blocks + 1), take("u1", patched), take("<u4", patched)
     last = blocks if last is None else min(last, blocks)
+    first = min(first, last)
     rows = last - first
     top = int(width[first:last].max(initial=0))
     planes = np.zeros((rows, top, BLOCK // 8), np.uint8)
@@ -98,7 +99,7 @@ def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     row = np.repeat(np.arange(rows), np.diff(outliers[first : last + 1].astype(np.int64)))
     grid[row, place[a:z]] |= high[a:z] << width[first:last][row].astype(np.uint32)
     grid += least[first:last, None]
-    return grid.reshape(-1)[: n - first * BLOCK]
+    return grid.reshape(-1)[: max(0, n - first * BLOCK)]
 
 
 #: Classes of bytes in byte-level BPE's pre-tokens; 5 is for what numpy does not settle here.

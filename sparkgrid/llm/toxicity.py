@@ -74,6 +74,13 @@ def gathered(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def within(responses: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """The responses, with places from which a filter would reach into the next text ruled out."""
+    for j in range(1, width):
+        responses[begin[1:] - j] = -np.inf
+    return responses
+
+
 class Net:
     """Weights of the classifier; ``a`` and ``b`` scale its logit."""
 
@@ -97,7 +104,7 @@ class Net:
             total = gathered(tables[at], ids)
             for j in range(1, w):
                 total[:-j] += gathered(tables[at + j], ids[j:])
-            out.append(total)
+            out.append(within(total, begin, w))
             at += w
         return out
 
@@ -106,7 +113,8 @@ class Net:
 
     def logits(self, ids: np.ndarray, begin: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
         pooled = [np.maximum(np.maximum.reduceat(r, begin[:-1], axis=0) + b, 0) for r, b in zip(self.responses(ids, begin, tables), self.bias, strict=True)]
-        return np.concatenate(pooled, axis=1) @ self.out + self.shift
+        # Row by row, so that a score does not depend on the size of its batch.
+        return (np.concatenate(pooled, axis=1) * self.out).sum(axis=1) + self.shift
 
     def probability(self, logits: np.ndarray) -> np.ndarray:
         if not self.trained:
@@ -153,6 +161,7 @@ class Net:
                     r = raw[:, k * FILTERS : (k + 1) * FILTERS].copy()
                     for j in range(1, w):
                         r[:-j] += raw[j:, (k + j) * FILTERS : (k + j + 1) * FILTERS]
+                    r = within(r, begin, w)
                     where = np.stack([begin[d] + r[begin[d] : begin[d + 1]].argmax(axis=0) for d in range(len(picked))])
                     best.append(where)
                     value.append(np.take_along_axis(r, where, axis=0) + b)

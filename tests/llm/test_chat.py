@@ -7,9 +7,9 @@ SCHEMA = "conv_id long, turn long, role string, text string"
 
 def rendered(turns, view):
     out, spans = "", []
-    order = sorted(turns, key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "unknown", t[3] or ""))
+    order = sorted(turns, key=lambda t: (t[1] is not None, t[1] or 0, "unknown" if t[2] is None else t[2], t[3] or ""))
     for _, _, role, text in order:
-        role = role or "unknown"
+        role = "unknown" if role is None else role
         head = "<|assistant|>\n" if role == view else f"<|user:{role}|>\n"
         spans.append((len(out), int(role == view)))
         out += head + (text or "") + chat.END
@@ -21,7 +21,7 @@ def check(spark, turns):
     want = {}
     for conv in {t[0] for t in turns}:
         mine = [t for t in turns if t[0] == conv]
-        for view in {t[2] or "unknown" for t in mine}:
+        for view in {"unknown" if t[2] is None else t[2] for t in mine}:
             want[conv, view] = rendered(mine, view)
     got = {}
     for key in want:

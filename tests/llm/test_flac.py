@@ -101,8 +101,7 @@ def test_documents(spark, documents, odd_rows):
     media = flac.store(docs)
     rows = flac.summaries(media).collect()
     assert len(rows) == len(odd_rows)
-    for want, got in zip(sorted(odd_rows, key=repr), sorted(rows, key=lambda r: repr((r["doc_id"], *[x[1:] for x in odd_rows if x[0] == r["doc_id"]]))), strict=True):
-        assert got["payload_bytes"] % 64 == 0 and got["payload_bytes"] > 0 and want is not None
+    assert all(r["payload_bytes"] % 64 == 0 and r["payload_bytes"] > 0 for r in rows)
     by_text = {}
     for r in rows:
         texts = [t for i, t, *_ in odd_rows if i == r["doc_id"] and len((t or "").encode()) == r["n_bytes"]]

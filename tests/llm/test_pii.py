@@ -6,22 +6,22 @@ from pyspark.sql import functions as F
 from sparkgrid.llm import pii
 
 KEY = b"test"
-TEXT = "Card 4111 1111 1111 1111 or 9807915762804491, not 1234567890123456; call +1 (974) 555-3436 or 974-555-3436; mail Jo.do-1@mail7.example.com; host 10.2.3.255 not 300.1.1.1; born 1999-02-28, not 1999-02-30, due 03/04/2021 and 28.12.2020; ssn 123-45-6789 not 000-12-3456; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"."
+TEXT = "Card 4111 1111 1111 1111 or 9807915762804495, not 1234567890123456; call +1 (974) 555-3436 or 974-555-3436; mail Jo.do-1@mail7.example.com; host 10.2.3.255 not 300.1.1.1; born 1999-02-28, not 1999-02-30, due 03/04/2021 and 28.12.2020; ssn 123-45-6789 not 000-12-3456; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"."
 
 
 def test_kinds_and_formats():
     found = pii.spans(TEXT)
     assert [(k, TEXT[a:b]) for a, b, k in found] == [
-        ("card", "4111 1111 1111 1111"), ("phone", "+1 (974) 555-3436"), ("phone", "974-555-3436"), ("email", "Jo.do-1@mail7.example.com"), ("ip", "10.2.3.255"),
+        ("card", "4111 1111 1111 1111"), ("card", "9807915762804495"), ("phone", "+1 (974) 555-3436"), ("phone", "974-555-3436"), ("email", "Jo.do-1@mail7.example.com"), ("ip", "10.2.3.255"),
         ("date", "1999-02-28"), ("date", "03/04/2021"), ("date", "28.12.2020"), ("ssn", "123-45-6789"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962"),
-    ] if pii._luhn("9807915762804491") is False else True
+    ]
     out, _ = pii.redact(TEXT, KEY)
     for a, b, k in found:
         new = pii.pseudonym(k, TEXT[a:b], KEY)
         assert new in out and new != TEXT[a:b] and pii.spans(f" {new} ")[0][2] == k
         assert pii.pseudonym(k, new, KEY, True) == TEXT[a:b]
-        if k != "ip":
-            assert [c.isdigit() for c in new] == [c.isdigit() for c in TEXT[a:b]] or k == "secret"
+        if k not in ("ip", "secret"):
+            assert [c.isdigit() for c in new] == [c.isdigit() for c in TEXT[a:b]]
     assert "1234567890123456" in out and "300.1.1.1" in out and "1999-02-30" in out and "000-12-3456" in out
 
 
@@ -55,7 +55,7 @@ def test_links_across_documents(spark, documents):
 def test_odd_rows(spark, documents, odd_rows):
     docs = documents(odd_rows).withColumns({"kinds": F.lit("mine"), "n_found": F.lit("x"), "key": F.lit("k")})
     rows = pii.pseudonymise(docs, KEY).collect()
-    assert sorted((r["doc_id"], r["text"], r["key"]) for r in rows if r["doc_id"]) == sorted((r[0], r[1], "k") for r in odd_rows if r[0] and True) or True
+    assert sorted(((r["doc_id"], r["text"], r["key"]) for r in rows), key=repr) == sorted(((r[0], r[1], "k") for r in odd_rows), key=repr)
     assert len(rows) == len(odd_rows) and all(r["n_found"] == 0 for r in rows)
     assert sum(r["text"] is None for r in rows) == 2
     assert pii.pseudonymise(docs.limit(0), KEY).count() == 0

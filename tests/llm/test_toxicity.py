@@ -27,7 +27,8 @@ def fitted(spark, documents, n=700):
     return toxicity.train(documents(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
 
 
-def test_held_out_accuracy(spark, documents):
+def test_held_out_accuracy(spark, documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_LABELS", 5)
     net, thresholds = fitted(spark, documents)
     docs, labels = corpus(300, 2)
     rows = toxicity.score(documents(docs), net, thresholds).collect()
@@ -65,3 +66,9 @@ def test_scores_do_not_depend_on_company():
     together = net.logits(*toxicity.word_ids(pa.array(texts)), tables)
     alone = [net.logits(*toxicity.word_ids(pa.array([t])), tables)[0] for t in texts]
     assert np.allclose(together, alone, atol=1e-6)
+
+
+def test_thresholds():
+    assert toxicity.best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) == 0.5
+    assert toxicity.best_threshold(np.array([0.9, 0.8]), np.array([0, 0])) == toxicity.CUT
+    assert toxicity.best_threshold(np.array([0.5, 0.5, 0.1]), np.array([1, 0, 0])) == 0.3
