@@ -108,3 +108,8 @@ def window_bounds(gt: Column, anchor: Column, window: Column) -> Column:
         F.greatest(*east).alias("max_x"), F.greatest(*north).alias("max_y"), F.lit(0.0).alias("max_z"),
     )
     return F.when(anchor.isNotNull() & (window["width"] > 0) & (window["height"] > 0), made)
+
+
+def scaled_degrees(gt: Column, metres_per_degree: float) -> Column:
+    """A geographic transform in metres by one factor: an explicit, lossy approximation that callers record as such."""
+    return transform(*[gt[t] * F.lit(float(metres_per_degree)) for t in TERMS])

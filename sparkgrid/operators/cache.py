@@ -80,6 +80,20 @@ def read_key(band: Column, level: Column, step: Column, output_type: Column) ->
     return cache_key("uuus", band, level, step, output_type)
 
 
+def conversion_key(identity: str, arguments: dict[str, str], step: int, tile_size: int | None, policy: str, origin: tuple[float, float, float], versions: dict[str, str]) -> str:
+    """The key of a conversion: whatever could change its result, arguments in their canonical spelling."""
+
+    def canonical(text: str) -> str:
+        try:
+            return repr(float(text))
+        except ValueError:
+            return text
+
+    named = [("s", x) for name in sorted(arguments) for x in (name, canonical(arguments[name]))]
+    known = [("s", x) for name in sorted(versions) for x in (name, versions[name])]
+    return hex_digest([("s", identity), *named, ("u", step), ("u", tile_size), ("s", policy), *[("d", v) for v in origin], *known])
+
+
 def tile_hash(level: Column, x: Column, y: Column) -> Column:
     """The low lane over a tile's identity, as a signed long."""
 

@@ -75,3 +75,8 @@ def metadata_row(rasters: DataFrame, band: int = 1, anchor_source: str | None =
 
 def is_tiled(rasters: DataFrame) -> Column:
     return F.col("native_tile").isNotNull()
+
+
+def export(rows: DataFrame, path: str) -> None:
+    """Metadata rows as JSON lines; absent properties are left out, as null fields are."""
+    rows.write.json(path)

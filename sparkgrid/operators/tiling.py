@@ -78,6 +78,12 @@ def write_tiles(tiled: DataFrame, path: str) -> None:
     tiled.repartition("level", "tile_x", "tile_y").write.partitionBy("level", "tile_x", "tile_y").parquet(path)
 
 
+def check_image(bands: list) -> None:
+    """An image needs three or four bands of bytes; nothing else is guessed to be one."""
+    if len(bands) not in (3, 4) or any(b["data_type"] != "uint8" for b in bands):
+        raise RasterError(Code.UnsupportedSampleFormat, "an image needs red, green and blue bands of uint8")
+
+
 def footprint(spark: SparkSession, bounds: Column) -> DataFrame:
     """The extent as a plane of four corners with texture coordinates."""
     corner = lambda x, y, u, v: F.struct(bounds[x].alias("x"), bounds[y].alias("y"), F.lit(u).alias("u"), F.lit(v).alias("v"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -363,6 +364,14 @@ class Options:
     output_type: str = "float32"
     budget: int = 0
     nodata_stage: str = "converted"
+    #: Polled before the first read and for each segment; a distributed read is
+    #: cancelled with ``spark.addTag`` and ``spark.interruptTag``.
+    cancelled: Callable[[], bool] | None = None
+
+
+def check_cancelled(options: Options, window: Window) -> None:
+    if options.cancelled and options.cancelled():
+        raise RasterError(Code.Cancelled, "the window read was cancelled", window=(window.x, window.y, window.width, window.height), band=options.band)
 
 
 @dataclass
@@ -504,6 +513,7 @@ def read_batch(source: ByteSource, p: Plan, batch: list[int], band: dict, option
     data = exactly(source, start, length)
     columns, rows = p.columns()
     for k in batch:
+        check_cancelled(options, p.window)
         offset, count = p.segment(k)
         values = decode_segment(p.layout, k, p.band, data[offset - start : offset - start + count])
         w = p.layout.window(k)
@@ -518,6 +528,7 @@ def read_window(source: ByteSource, window: Window, options: Options | None = No
     options = options or Options()
     container = Container(source, sink)
     p = plan(container, window, options)
+    check_cancelled(options, window)
     across, down = window.sampled(p.step)
     values, missing = np.full((down, across), np.nan), np.zeros((down, across), bool)
     for batch in p.batches:

@@ -268,3 +268,13 @@ def test_byte_sources():
     with pytest.raises(RasterError) as error:
         exactly(source, 4, 5)
     assert error.value.diagnostic.code is Code.TruncatedData
+
+
+def test_cancelling():
+    source = RecordingSource(MemorySource(tiff(ramp(8, 8), rows=2)))
+    polls = iter([False, False, True])
+    with pytest.raises(RasterError) as error:
+        read_window(source, Window(0, 0, 8, 8), Options(output_type="float64", cancelled=lambda: next(polls)))
+    assert error.value.diagnostic.code is Code.Cancelled
+    layout = Container(MemorySource(tiff(ramp(8, 8), rows=2))).layout
+    assert sum(source_range == (layout.segments[0][0], 128) for source_range in source.ranges) == 1

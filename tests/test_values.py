@@ -174,3 +174,19 @@ def test_tiles_and_levels(spark):
     assert counts == {(x, y): 1089 for x in range(2) for y in range(2)}
     untiled = tiling.shared_edges(grid, 32, 65, 65).select("c", "r").distinct().count()
     assert untiled == 65 * 65
+
+
+def test_planned_contracts(spark, tmp_path):
+    base = dict(identity="a@1", arguments={"heightScale": "1", "band": "1"}, step=4, tile_size=None, policy="skip", origin=(1.0, 2.0, 0.0), versions={"reader": "1"})
+    key = cache.conversion_key(**base)
+    assert key == cache.conversion_key(**base | {"arguments": {"band": "1", "heightScale": "1.0"}})
+    assert key != cache.conversion_key(**base | {"step": 5}) and key != cache.conversion_key(**base | {"tile_size": 64})
+    with pytest.raises(RasterError):
+        tiling.check_image([{"data_type": "uint16"}] * 3)
+    tiling.check_image([{"data_type": "uint8"}] * 4)
+    wide = one(spark, affine.scaled_degrees(affine.transform(139.0, 0.25, 0.0, 36.0, 0.0, -0.25), 100000.0))[0]
+    assert (wide["a1"], wide["b2"]) == (25000.0, -25000.0)
+    from sparkgrid.operators import metadata
+
+    metadata.export(spark.range(1).selectExpr("id", "CAST(NULL AS STRING) AS gone"), f"{tmp_path}/out")
+    assert spark.read.json(f"{tmp_path}/out").columns == ["id"]
