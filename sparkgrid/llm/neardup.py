@@ -42,6 +42,8 @@ from sparkgrid.llm.scratch import discard, small_side, stored
 #: Base, rate and largest value of the registers: bytes that serve sets of 1 to 10^9 shingles.
 BASE, RATE, LARGEST = 1.1, 20.0, 255
 BANDS, ROWS = 40, 6
+#: Registers in all: the bands use the first, the likelihood all.
+REGISTERS = 720
 #: Fall of the log likelihood from its best to that of the threshold beyond which a pair is dropped.
 LIKELIHOOD_GAP = 9.0
 #: Share of a round's plausible pairs that are links below which all that is left is compared,
@@ -49,7 +51,7 @@ LIKELIHOOD_GAP = 9.0
 LEAST_YIELD, MOST_ROUNDS, BLOCK = 0.5, 6, 512
 
 
-def sketch(sets: list[np.ndarray], registers: int = BANDS * ROWS) -> np.ndarray:
+def sketch(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
     """SetSketch registers (sets x registers, bytes) of sets of 64-bit hashes; empty sets are all 0."""
     out = np.zeros((len(sets), registers), np.uint8)
     full = [i for i, s in enumerate(sets) if len(s)]
