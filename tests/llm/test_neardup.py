@@ -65,7 +65,6 @@ def run(frame, **how):
 def test_random_corpus(spark, documents):
     rows = corpus()
     assert run(documents(rows), k=4) == brute(rows, 4)
-    assert run(documents(rows), k=5) == brute(rows, 5)
 
 
 def test_odd_rows(spark, documents, odd_rows):
@@ -103,3 +102,20 @@ def test_sketches_merge_and_estimate():
         best, _ = neardup.likelihoods(x[None], y[None], np.array([n]), np.array([n]), 0.8)
         assert abs(best[0] - both / (2 * n - both)) < 0.12
     assert not neardup.sketch([np.zeros(0, np.uint64)]).any()
+
+
+def test_blocks_of_a_bucket_meet(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = mix64(rng.integers(0, 2**63, 300).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base, mix64(rng.integers(0, 2**63, k).astype(np.uint64))])) for k in range(0, 60, 6)]
+    sketches = [r.tobytes() for r in neardup.sketch(sets)]
+    whole = {"cid": list(range(10)), "root": list(range(10)), "own": [0] * 10, "n": list(map(len, sets)), "sketch": sketches, "slot": [0] * 10, "lo": [0] * 10, "hi": [0] * 10}
+    pairs = lambda b: set(zip(*b.to_pydict().values(), strict=True)) if b is not None else set()
+    want = pairs(neardup._compared(whole, 0.8))
+    assert want == {(a, b) for a in range(10) for b in range(a + 1, 10)}
+    own = [k % 2 for k in range(10)]
+    part = lambda lo, hi: {c: [v for v, o in zip(values, own, strict=True) if o in (lo, hi)] for c, values in (whole | {"own": own, "lo": [lo] * 10, "hi": [hi] * 10}).items()}
+    got = [pairs(neardup._compared(part(*k), 0.8)) for k in ((0, 0), (0, 1), (1, 1))]
+    assert set.union(*got) == want and sum(map(len, got)) == len(want)
+    linked = whole | {"root": [0] * 10}
+    assert neardup._compared(linked, 0.8) is None
