@@ -17,7 +17,7 @@ has its upper part in the exception list.  Segments are rows of a Parquet table
 in the shared folder, so Spark's committer makes a retried task's output whole.
 
 Defined results: a null or empty text is just the end id; a null doc_id sorts
-first; rows that repeat a doc_id follow each other in the order of their texts;
+first; rows that repeat a doc_id follow each other in an order that their texts fix;
 columns other than the id and the text are ignored; an empty table gives no
 segment.
 """
@@ -41,7 +41,7 @@ PERCENTILE = 90
 SEGMENT_IDS = 1 << 17
 #: Places of the table of remembered pre-tokens, and ids held for them; it is emptied beyond.
 SLOT_BITS = 20
-POOL_IDS = 6_000_000
+POOL_IDS = 4_000_000
 MAGIC = b"PFR1"
 
 
