@@ -34,9 +34,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents without any window of a benchmark item: one passage is a leak."""
     mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select("doc_id", "text", mark.alias("_mark"))
-    found = decontam.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_items=1, keep=("doc_id", "_mark"))
-    dirty = stored(found.filter("contaminated").select(F.col("doc_id").alias("_id"), "_mark").distinct(), "contaminated")
-    return docs.join(small_side(dirty), F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left_anti")
+    dirty = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("doc_id", "_mark"))
+    dirty = small_side(dirty.withColumnRenamed("doc_id", "_id"))
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrid.llm.scratch import stored
+from sparkgrid.llm.scratch import discard, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 8
@@ -121,9 +121,20 @@ def proximity(index: DataFrame, ranked: DataFrame, span: int) -> DataFrame:
     return _union(found)
 
 
-def contamination(docs: DataFrame, items: DataFrame, least_items: int = 2, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row of ``docs``: kept columns, n_words, n_hit, n_items, items_sha256, contaminated."""
+def contaminated(docs: DataFrame, items: DataFrame, keep: tuple[str, ...], least_items: int = 1, window: int = WINDOW) -> DataFrame:
+    """The kept columns of the contaminated rows, distinct, as a stored table; the index is deleted."""
     index = build_index(docs, keep=keep)
+    found = stored(contamination(docs, items, least_items, window, keep, index).filter("contaminated").select(*keep).distinct(), "contaminated")
+    discard(index)
+    return found
+
+
+def contamination(docs: DataFrame, items: DataFrame, least_items: int = 2, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), index: DataFrame | None = None) -> DataFrame:
+    """Per row of ``docs``: kept columns, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    ``index`` is theirs, if it is built already.
+    """
+    index = index if index is not None else build_index(docs, keep=keep)
     ranked = rare_first(index, test_windows(items, window))
     spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))))
     by_doc = phrases(index, ranked).groupBy("uid").agg(spans.alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))

@@ -177,7 +177,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, th
             if sum(x.nbytes for x in known.values()) > 32 << 20:
                 known.clear()
 
-    return both.select("a", "b", "digest_a", "text_a", "digest_b", "text_b").mapInArrow(run, "a long, b long").distinct()
+    found = both.select("a", "b", "digest_a", "text_a", "digest_b", "text_b").mapInArrow(run, "a long, b long").distinct()
+    out = stored(found, "links")
+    discard(chosen, texts)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -311,32 +314,35 @@ def link_classes(classes: DataFrame, rows: DataFrame, k: int, threshold: float)
         if tested is not None:
             likely = likely.join(tested, ["a", "b"], "left_anti")
         likely = stored(likely, "likely")
-        fresh = stored(_confirmed(likely, classes, rows, k, threshold), "links")
+        fresh = _confirmed(likely, classes, rows, k, threshold)
         linked, asked = fresh.count(), likely.count()
         found = linked / max(1, asked)
         if linked:
             links = fresh if links is None else links.union(fresh)
             roots = components(links)
+        if turn:
+            discard(rooted)
         if last:
             break
         tested = likely if tested is None else tested.union(likely)
-    return roots if roots is not None else buckets.limit(0).select("cid", F.col("cid").alias("root"))
+    discard(buckets)
+    return roots if roots is not None else classes.limit(0).select("cid", F.col("cid").alias("root"))
 
 
-def _named(docs: DataFrame, k: int, threshold: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The features of the rows, and (digest, root, component_id) of the classes."""
+def _named(docs: DataFrame, k: int, threshold: float, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The features of the rows, (digest, root, component_id) of the classes, and the stored classes that this reads."""
     made = stored(features(docs, k, key, text), "features")
     by_set = made.filter("n > 0").groupBy("digest").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = stored(by_set.withColumn("cid", F.monotonically_increasing_id()), "classes")
     roots = link_classes(classes, _rows(docs, key, text), k, threshold)
     placed = classes.select("digest", "first_id", "cid").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     names = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return made, placed.join(names, "root").select("digest", "root", "component_id")
+    return made, placed.join(names, "root").select("digest", "root", "component_id"), classes
 
 
 def groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept, whether the row names its component."""
-    made, named = _named(docs, k, threshold, key, text)
+    made, named, _ = _named(docs, k, threshold, key, text)
     out = made.select("id", "n", "digest").join(named, "digest", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
@@ -348,7 +354,7 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.8, key: str = "do
     Rows are told by their id where it is unique.  Those of repeated or null ids
     are told by their shingle set, and one of each component stays.
     """
-    made, named = _named(docs, k, threshold, key, text)
+    made, named, classes = _named(docs, k, threshold, key, text)
     rooted = made.select("id", "digest").join(named, "digest", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
     by_id = stored(rooted.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.first("component_id").alias("component_id")), "ids")
     own = F.col(f"`{key}`").cast("long")
@@ -357,6 +363,7 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.8, key: str = "do
     out = docs.join(small_side(gone), own.eqNullSafe(F.col("id")), "left_anti")
     again = stored(by_id.filter(several | F.col("id").isNull()).select("id"), "repeated-ids")
     if again.isEmpty():
+        discard(made, classes)
         return out
     told = features(docs.join(small_side(again), own.eqNullSafe(F.col("id")), "left_semi"), k, key, text, carry=True)
     met = told.join(named.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"), "left")
