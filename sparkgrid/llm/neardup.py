@@ -144,10 +144,19 @@ def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs whose full sets are similar enough; texts of the classes' first documents are fetched by id."""
+    """The pairs whose full sets are similar enough.
+
+    Texts are fetched by the classes' first ids, which other rows may share; those
+    whose own digest is the class's belong to it, and one of them serves.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     chosen = stored(classes.select("cid", "first_id", "digest").join(wanted, "cid"), "wanted")
-    texts = stored(rows.join(small_side(chosen), F.col("id").eqNullSafe(F.col("first_id"))).select("cid", "digest", "text"), "texts")
+    ids = stored(chosen.select("first_id").distinct(), "wanted-ids")
+    told = features(rows.join(small_side(ids), F.col("id").eqNullSafe(F.col("first_id")), "left_semi"), k, "id", "text", carry=True)
+    own = told.select("id", "digest", F.col("row.text").alias("text"))
+    fetched = stored(own.join(small_side(chosen), (F.col("id").eqNullSafe(F.col("first_id"))) & (own["digest"] == chosen["digest"])).select("cid", chosen["digest"], "text"), "texts")
+    # Only rows that repeat an id, or have none, give a class more than one text.
+    texts = fetched if fetched.count() == chosen.count() else stored(fetched.dropDuplicates(["cid"]), "texts")
     side = lambda s: texts.select(*[F.col(c).alias(f"{c}_{s}") for c in texts.columns])
     both = pairs.join(side("b"), F.col("b") == F.col("cid_b")).join(side("a"), F.col("a") == F.col("cid_a"))
     hundredths = round(threshold * 100)
@@ -155,22 +164,17 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, th
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
 
-        def sets(piece: pa.RecordBatch, s: str) -> list[np.ndarray | None]:
-            """The set of each text; none if it is another row's that has the id."""
+        def sets(piece: pa.RecordBatch, s: str) -> list[np.ndarray]:
             digests = piece.column(f"digest_{s}").to_pylist()
             fresh = {d: i for i, d in enumerate(digests) if d not in known}
             if fresh:
                 made = shingle_hashes(*word_hashes(*bounds(piece.column(f"text_{s}").take(pa.array(list(fresh.values()))))), k)
                 known.update(zip(fresh, made, strict=True))
-            whole = [known[d] for d in digests]
-            return [w if hashlib.blake2b(w.tobytes(), digest_size=16).digest() == d else None for w, d in zip(whole, digests, strict=True)]
+            return [known[d] for d in digests]
 
         for piece in slices(batches, "text_b"):
             keep = []
             for x, y in zip(sets(piece, "a"), sets(piece, "b"), strict=True):
-                if x is None or y is None:
-                    keep.append(False)
-                    continue
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= hundredths * (len(x) + len(y) - shared))
             yield piece.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -179,7 +183,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, th
 
     found = both.select("a", "b", "digest_a", "text_a", "digest_b", "text_b").mapInArrow(run, "a long, b long").distinct()
     out = stored(found, "links")
-    discard(chosen, texts)
+    discard(chosen, ids, fetched, *([] if texts is fetched else [texts]))
     return out
 
 

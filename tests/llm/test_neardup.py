@@ -75,6 +75,23 @@ def test_odd_rows(spark, documents, odd_rows):
     assert run(clash, k=4) == brute(rows, 4)
 
 
+def test_near_copies_under_null_and_repeated_ids(spark, documents):
+    rng = random.Random(9)
+    rows = []
+    for n in range(12):
+        words = [f"t{n}x{k}" for k in range(60)]
+        near = [*words[:-1], "end"]
+        # Pairs within null ids, within one id, between the two, and with an id of their own.
+        one, other = [(None, None), (7, 7), (None, 7), (7, 100 + n)][n % 4]
+        rows += [(one, " ".join(words)), (other, " ".join(near))] + [(one, " ".join(words))] * (n % 3)
+    want = brute(rows, 4)
+    for _ in range(2):
+        rng.shuffle(rows)
+        assert run(documents(rows), k=4) == want
+    kept = [(r["doc_id"], r["text"].split("x")[0]) for r in neardup.keep_one(documents(rows), k=4).collect()]
+    assert len(kept) == 12 and len({t for _, t in kept}) == 12
+
+
 def test_keep_one(spark, documents, odd_rows):
     rows = corpus(2)
     kept = neardup.keep_one(documents(rows), k=5)
