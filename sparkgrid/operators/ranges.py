@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkgrid.llm.scratch import stored
+
 
 def distinct_bytes(ranges: DataFrame, key: str = "raster_id") -> DataFrame:
     """Bytes that the ranges (key, offset, length) cover, each counted once."""
@@ -21,11 +23,26 @@ def touches(offset: Column, length: Column, begin: Column, end: Column) -> Colum
 
 
 def touched(probes: DataFrame, ranges: DataFrame, key: str = "raster_id") -> DataFrame:
-    """Probes (key, begin, end) with whether any range of the key touches them: an equi-join with a filter."""
-    hit = ranges.select(F.col(key).alias("_key"), F.col("offset").alias("_offset"), F.col("length").alias("_length"))
-    met = (F.col(key) == F.col("_key")) & touches(F.col("_offset"), F.col("_length"), F.col("begin"), F.col("end"))
-    inside = probes.join(hit, met, "left_semi").withColumn("touched", F.lit(True))
-    return inside.unionByName(probes.join(hit, met, "left_anti").withColumn("touched", F.lit(False)))
+    """Probes (key, begin, end) with whether any range of the key touches them.
+
+    A probe is touched if, of the ranges that start before its end, the furthest
+    end lies beyond its begin: a running maximum in the order of starts and probes'
+    ends.  Both are dealt by range of that order, so neither a key's probes and
+    ranges meet pair by pair nor does a key stay in one task.
+    """
+    read = ranges.filter(F.col(key).isNotNull() & (F.col("length") > 0))
+    starts = read.select(F.col(key).alias("_key"), F.col("offset").alias("_at"), F.lit(1).alias("_is_range"), (F.col("offset") + F.col("length")).alias("_end"))
+    asked = probes.withColumns({"_key": F.col(key), "_at": F.col("end"), "_is_range": F.lit(0), "_end": F.lit(None).cast("long")})
+    order = ("_key", "_at", "_is_range")  # a range that starts where a probe ends comes after it
+    both = asked.unionByName(starts, allowMissingColumns=True).withColumn("_uid", F.monotonically_increasing_id())
+    dealt = stored(both.repartitionByRange(*order, "_uid").withColumn("_part", F.spark_partition_id()), "touched")
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("_part", "_key").agg(F.max("_end").alias("_end")).select(F.col("_part").alias("_p"), F.col("_key").alias("_k"), F.max("_end").over(earlier).alias("_before"))
+    here = Window.partitionBy("_part", "_key").orderBy("_at", "_is_range", "_uid").rowsBetween(Window.unboundedPreceding, 0)
+    run = dealt.withColumn("_here", F.max("_end").over(here)).filter("_is_range = 0")
+    met = run.join(before, (F.col("_part") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k")))
+    hit = (F.col("begin") < F.col("end")) & (F.col("begin") < F.greatest("_here", "_before"))
+    return met.select(*[F.col(f"`{c}`") for c in probes.columns], F.coalesce(hit, F.lit(False)).alias("touched"))
 
 
 def read_statistics(requests: DataFrame, key: str = "raster_id") -> DataFrame:

@@ -408,6 +408,16 @@ def range_touched(spark, sf_dir):
     return ranges.touched(probes, read).select("event_id", "touched")
 
 
+@query("""WITH r AS (SELECT user_id % 10 AS raster_id, event_id * 37 % 5000 AS o, event_id % 23 AS n FROM events),
+    p AS (SELECT event_id, user_id % 10 AS raster_id, event_id * 11 % 5000 AS b, event_id * 11 % 5000 + event_id % 4 AS e FROM events)
+    SELECT event_id, EXISTS (SELECT 1 FROM r WHERE r.raster_id = p.raster_id AND n > 0 AND b < e AND o < e AND b < o + n) AS touched FROM p""")
+def range_touched_all(spark, sf_dir):
+    """As ``range_touched``, but against the ranges of all events."""
+    e = F.col("event_id")
+    probes = rasters.events(spark, sf_dir).select("event_id", (F.col("user_id") % 10).alias("raster_id"), (e * 11 % 5000).alias("begin"), (e * 11 % 5000 + e % 4).alias("end"))
+    return ranges.touched(probes, _byte_ranges(spark, sf_dir)).select("event_id", "touched")
+
+
 @query("""SELECT user_id % 10 AS raster_id, sum(event_id % 7)::BIGINT AS requested_bytes, sum(event_id % 64)::BIGINT AS fetched_bytes, count(*) AS request_count,
     coalesce(sum(event_id % 64)::DOUBLE / nullif(sum(event_id % 7), 0)::DOUBLE, 0.0::DOUBLE) AS amplification FROM events GROUP BY 1""")
 def read_amplification(spark, sf_dir):
