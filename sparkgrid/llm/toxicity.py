@@ -2,8 +2,9 @@
 
 Words are hashed to embeddings; filters of several widths slide over them, the
 largest response of each counts, and a linear layer makes the logit.  Its inputs
-are the text alone.  A part of the training rows is kept to fit the scale that
-turns logits into probabilities, and a threshold for each language.
+are the text alone.  The classifier is trained on a bounded sample; the scale that turns
+logits into probabilities, and a threshold for each language, are fitted on
+histograms of all other labelled rows, a part of the sample among them.
 
 Scoring uses that a filter's response is a sum of one number per word and place:
 a table of those replaces embeddings and matrix products.
@@ -37,6 +38,8 @@ EPOCHS = 4
 SHRINK = 10
 BATCH = 32
 CUT = 0.3
+#: Bins of the histograms of logits: so many for each unit, up to a bound on either side.
+BINS, FURTHEST = 256, 64
 #: Training rows and words at most; a hash of the id picks the rows.
 MAX_TRAIN_ROWS = 8_000
 MAX_TRAIN_WORDS = 6_000_000
@@ -202,14 +205,14 @@ class Net:
         self.shift = shift[0]
         self.trained = True
 
-    def calibrate(self, logits: np.ndarray, labels: np.ndarray) -> None:
-        """Logistic fit of the labels on the logits, with a weak pull to (1, 0)."""
+    def calibrate(self, logits: np.ndarray, labels: np.ndarray, weights: np.ndarray | float = 1.0) -> None:
+        """Logistic fit of the labels on the logits, each as often as its weight, with a weak pull to (1, 0)."""
         x = np.stack([logits.astype(np.float64), np.ones(len(logits))], axis=1)
         w = np.array([1.0, 0.0])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            grad = x.T @ (p - labels) + 0.5 * (w - np.array([1.0, 0.0]))
-            curve = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2)
+            grad = x.T @ (weights * (p - labels)) + 0.5 * (w - np.array([1.0, 0.0]))
+            curve = (x * (weights * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2)
             step = np.linalg.solve(curve, grad)
             w -= np.clip(step, -2, 2)
             if abs(step).max() < 1e-9:
@@ -219,40 +222,85 @@ class Net:
 
 def best_threshold(scores: np.ndarray, labels: np.ndarray, default: float = CUT) -> float:
     """The threshold with the best F1, the middle of the gap if several do equally."""
-    order = np.argsort(-scores)
-    s, y = scores[order], labels[order]
-    hit = np.cumsum(y)
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    last = np.append(s[:-1] != s[1:], True)  # equal scores stand or fall together
+    return histogram_threshold(scores, scores, np.ones(len(scores)), labels, default)
+
+
+def histogram_threshold(low: np.ndarray, high: np.ndarray, n: np.ndarray, toxic: np.ndarray, default: float = CUT) -> float:
+    """As ``best_threshold``, of bins with their least and largest score, rows and toxic rows."""
+    if not toxic.sum():
+        return default
+    order = np.lexsort((-low, -high))
+    low, high, n, toxic = low[order], high[order], n[order], toxic[order]
+    f1 = 2 * np.cumsum(toxic) / (np.cumsum(n) + toxic.sum())
+    last = np.append(low[:-1] > high[1:], True)  # equal scores stand or fall together
     f1 = np.where(last, f1, -1)
     i = int(f1.argmax())
-    below = s[i + 1] if i + 1 < len(s) else 0.0
-    return float((s[i] + below) / 2) if y.sum() else default
+    below = high[i + 1] if i + 1 < len(high) else 0.0
+    return float((low[i] + below) / 2)
+
+
+def known_labels(labels: DataFrame, label: str, key: str, max_rows: int) -> DataFrame:
+    """All labels as a stored table (_key, h, y, sampled): a hash samples about ``max_rows`` of them."""
+    known = labels.select(F.col(f"`{key}`").alias("_key"), F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h"), F.col(f"`{label}`").cast("int").alias("y"))
+    known = stored(known.filter(F.col("y").isin(0, 1)), "labels")
+    n = known.count()
+    sampled = F.lit(True) if n <= max_rows else F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * max_rows / n)
+    return known.withColumn("sampled", sampled)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, lang: str, max_rows: int) -> DataFrame:
-    """Texts of the labels, or of a hash sample of about ``max_rows`` of them, as a stored table (h, text, y, lang).
+def labelled(docs: DataFrame, known: DataFrame, text: str, key: str) -> DataFrame:
+    """Texts of the sampled labels, as a stored table (h, text, y).
 
     The sample is taken before the join, so what is broadcast has a bound and the
     texts are not shuffled.
     """
-    known = labels.select(F.col(f"`{key}`").alias("_key"), F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h"), F.col(f"`{label}`").cast("int").alias("y"))
-    known = known.filter(F.col("y").isin(0, 1))
-    n = known.count()
-    if n > max_rows:
-        known = known.filter(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
-    met = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    return stored(met.join(small_side(stored(known, "labels")), F.col("_id") == F.col("_key")).select("h", "text", "y", "lang"), "labelled")
+    met = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return stored(met.join(small_side(stored(known.filter("sampled"), "sample")), F.col("_id") == F.col("_key")).select("h", "text", "y"), "labelled")
+
+
+def kept_back(h: np.ndarray) -> np.ndarray:
+    """Which of the sampled rows are not trained on."""
+    return (h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(6) == 0
+
+
+def histograms(docs: DataFrame, known: DataFrame, net: Net, text: str, key: str, lang: str) -> pa.Table:
+    """(lang, bin, n, toxic, low, high) of the logits of all rows of ``known``, in order.
+
+    Many labels are joined after scoring, so the texts are not shuffled then either.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((net.tables(), net.bias, net.out, net.shift))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, *weights = shared.value
+        own = Net.__new__(Net)
+        own.bias, own.out, own.shift = weights
+        for piece in slices(batches, "text"):
+            logits = own.logits(*word_ids(piece.column("text")), tables).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column("lang"), pa.array(logits)], [piece.schema.names[0], "lang", "logit"])
+
+    known = stored(known.select("_key", "y"), "known")
+    met = docs.select(F.col(f"`{key}`").alias("_id"), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
+    side = small_side(known)
+    same = F.col("_id") == F.col("_key")
+    if side is known:
+        scored = met.mapInArrow(run, f"_id {met.schema['_id'].dataType.simpleString()}, lang string, logit double").join(known, same)
+    else:
+        scored = met.join(side, same).select("y", "lang", "text").mapInArrow(run, "y int, lang string, logit double")
+    binned = F.floor(F.greatest(F.lit(-FURTHEST), F.least(F.lit(FURTHEST), "logit")) * BINS).alias("bin")
+    out = scored.groupBy("lang", binned).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic"), F.min("logit").alias("low"), F.max("logit").alias("high"))
+    return out.toArrow().sort_by([("lang", "ascending"), ("bin", "ascending")])
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", lang: str = "lang", max_rows: int = MAX_TRAIN_ROWS, max_words: int = MAX_TRAIN_WORDS) -> tuple[Net, dict[str, float]]:
     """The classifier and the thresholds by language ("" for all) from labels of documents.
 
     If there are more rows or words than the bounds, a hash of the id picks a
-    share of the rows; each row taken counts whole.  What comes to the driver is
-    at most about ``max_words`` words' bucket numbers.
+    share of the rows to train on; each row taken counts whole.  What comes to the
+    driver is at most about ``max_words`` words' bucket numbers, and histograms.
+    All labelled rows that are not trained on make the scale and the thresholds.
     """
-    some = labelled(docs, labels, text, label, key, lang, max_rows)
+    known = known_labels(labels, label, key, max_rows)
+    some = labelled(docs, known, text, key)
     (size,) = some.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     share = min(1.0, max_words * 5 / max(size, 1))
     if share < 1:
@@ -261,31 +309,40 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
             ids, begin = word_ids(piece.column("text"))
-            yield pa.RecordBatch.from_arrays([piece.column("h"), piece.column("y"), piece.column("lang"), pa.array([ids[a:b].astype("<i4").tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())], ["h", "y", "lang", "ids"])
+            yield pa.RecordBatch.from_arrays([piece.column("h"), piece.column("y"), pa.array([ids[a:b].astype("<i4").tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())], ["h", "y", "ids"])
 
-    table = some.mapInArrow(hashed, "h long, y int, lang string, ids binary").toArrow().sort_by("h").combine_chunks()
+    table = some.mapInArrow(hashed, "h long, y int, ids binary").toArrow().sort_by("h").combine_chunks()
     labels = table.column("y").to_numpy().astype(np.int64)
     net = Net()
     net.rate = float(labels.mean()) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
         return net, {"": CUT}
-    docs = [np.frombuffer(x, "<i4").reshape(-1, 1 + len(PREFIXES)) for x in table.column("ids").to_pylist()]
+    rows = [np.frombuffer(x, "<i4").reshape(-1, 1 + len(PREFIXES)) for x in table.column("ids").to_pylist()]
     h = table.column("h").to_numpy()
-    kept = (h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(6) == 0
+    kept = kept_back(h)
     if len(set(labels[kept].tolist())) < 2 or len(set(labels[~kept].tolist())) < 2:
-        kept = np.zeros(len(docs), bool)
-    net.fit([d for d, k in zip(docs, kept, strict=True) if not k], labels[~kept])
-    tables = net.tables()
-    check = np.flatnonzero(kept) if kept.any() else np.arange(len(docs))
-    logits = np.array([net.logits(docs[i], np.array([0, len(docs[i])]), tables)[0] for i in check])
-    net.calibrate(logits, labels[check])
-    scores = net.probability(logits)
-    thresholds = {"": best_threshold(scores, labels[check])}
-    langs = np.array([x or "" for x in table.column("lang").to_pylist()])[check]
+        kept = np.zeros(len(rows), bool)
+    net.fit([d for d, k in zip(rows, kept, strict=True) if not k], labels[~kept])
+    held = docs.sparkSession.createDataFrame(pa.table({"h": np.unique(h[~kept])}))
+    both = lambda t: 0 < sum(t.column("toxic").to_pylist()) < sum(t.column("n").to_pylist())
+    bins = histograms(docs, known.join(F.broadcast(held), "h", "left_anti"), net, text, key, lang)
+    if not both(bins):
+        bins = histograms(docs, known, net, text, key, lang)
+    n, toxic, low, high = (bins.column(c).to_numpy().astype(np.float64) for c in ("n", "toxic", "low", "high"))
+    middle = (low + high) / 2
+    net.calibrate(np.concatenate([middle, middle]), np.repeat([1.0, 0.0], len(n)), np.concatenate([toxic, n - toxic]))
+    low, high = net.probability(low), net.probability(high)
+    # Bins of all languages are one where they are the same part of the scale.
+    place, at = np.unique(bins.column("bin").to_numpy(), return_inverse=True)
+    least, most = np.full(len(place), np.inf), np.full(len(place), -np.inf)
+    np.minimum.at(least, at, low)
+    np.maximum.at(most, at, high)
+    thresholds = {"": histogram_threshold(least, most, np.bincount(at, n), np.bincount(at, toxic))}
+    langs = np.array(bins.column("lang").to_pylist())
     for one in sorted(set(langs.tolist()) - {""}):
         mine = langs == one
-        if min(np.bincount(labels[check][mine], minlength=2)) >= LEAST_LABELS:
-            thresholds[one] = best_threshold(scores[mine], labels[check][mine])
+        if min(toxic[mine].sum(), (n - toxic)[mine].sum()) >= LEAST_LABELS:
+            thresholds[one] = histogram_threshold(low[mine], high[mine], n[mine], toxic[mine])
     return net, thresholds
 
 

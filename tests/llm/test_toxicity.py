@@ -72,3 +72,25 @@ def test_thresholds():
     assert toxicity.best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) == 0.5
     assert toxicity.best_threshold(np.array([0.9, 0.8]), np.array([0, 0])) == toxicity.CUT
     assert toxicity.best_threshold(np.array([0.5, 0.5, 0.1]), np.array([1, 0, 0])) == 0.3
+
+
+def test_thresholds_of_histograms():
+    low, high = np.array([0.8, 0.4, 0.1]), np.array([0.9, 0.6, 0.2])
+    assert abs(toxicity.histogram_threshold(low, high, np.array([5, 1, 50]), np.array([5, 1, 0])) - 0.3) < 1e-12
+    # Bins that share a score stand or fall together.
+    assert toxicity.histogram_threshold(np.array([1.0, 1.0, 0.1]), np.array([1.0, 1.0, 0.2]), np.array([5, 5, 9]), np.array([5, 0, 0])) == 0.6
+
+
+def test_thresholds_cover_labels_beyond_the_sample(spark, documents, monkeypatch):
+    docs, labels = corpus(1400, 1)
+    docs = [(k, t, "es" if k % 5 == 0 else "en", s) for k, t, _, s in docs]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    # 40 toxic rows of es in all; a sixth of a sample of 300 rows has one or two.
+    net, thresholds = toxicity.train(documents(docs), known, max_rows=300)
+    assert set(thresholds) == {"", "en", "es"}
+    seen = {r["doc_id"]: r["flagged"] for r in toxicity.score(documents(docs), net, thresholds).collect()}
+    assert sum(seen[k] == bool(y) for k, _, y in labels) >= 0.9 * len(labels)
+    # The same where the labels are too many to be broadcast.
+    monkeypatch.setattr(toxicity, "small_side", lambda df: df)
+    _, shuffled = toxicity.train(documents(docs), known, max_rows=300)
+    assert shuffled.keys() == thresholds.keys() and all(abs(shuffled[k] - thresholds[k]) < 1e-6 for k in shuffled)
