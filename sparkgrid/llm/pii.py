@@ -121,21 +121,25 @@ def _ip(text: str, key: bytes, back: bool) -> str:
 
 #: Date forms, as the groups' meaning and the pattern of the form.
 DATE_FORMS = {
-    "iso": ("ymd", re.compile(r"(\d{4})([-/.])(\d{2})\2(\d{2})")),
-    "tail": ("dmy", re.compile(r"(\d{2})([-/.])(\d{2})\2(\d{4})")),
+    "iso": ("ymd", re.compile(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})")),
+    "tail": ("dmy", re.compile(r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4})")),
 }
 DAYS = datetime.date.max.toordinal()
 
 
 def _date_parts(text: str) -> tuple[str, str, datetime.date] | None:
-    """Form, separator and day of a valid date; of two-digit pairs a first above 12 is the day, else the month."""
+    """Form, separator and day of a valid date; before a year a first number above 12 is the day, else the month.
+
+    Where the day or month has one digit the form bears the digits of both.
+    """
     for name, (_, form) in DATE_FORMS.items():
         if m := form.fullmatch(text):
             y, a, b = (m[1], m[3], m[4]) if name == "iso" else (m[4], m[1], m[3])
             day_first = name == "tail" and int(a) > 12
             month, day = (b, a) if day_first else (a, b)
             try:
-                return (name if name == "iso" else "dmy" if day_first else "mdy"), m[2], datetime.date(int(y), int(month), int(day))
+                digits = "" if len(a) == len(b) == 2 else f"{len(a)}{len(b)}"
+                return (name if name == "iso" else "dmy" if day_first else "mdy") + digits, m[2], datetime.date(int(y), int(month), int(day))
             except ValueError:
                 return None
     return None
@@ -145,8 +149,10 @@ def _date(text: str, key: bytes, back: bool) -> str:
     form, sep, day = _date_parts(text)  # type: ignore[misc]
     while True:
         day = datetime.date.fromordinal(feistel(day.toordinal() - 1, DAYS, key, f"date:{form}", back) + 1)
-        y, m, d = f"{day.year:04}", f"{day.month:02}", f"{day.day:02}"
-        out = sep.join({"iso": (y, m, d), "dmy": (d, m, y), "mdy": (m, d, y)}[form])
+        first, second = (day.day, day.month) if form.startswith("dmy") else (day.month, day.day)
+        pair = [f"{v:0{w}}" for v, w in zip((first, second), (int(w) for w in form[3:] or "22"), strict=True)]
+        out = sep.join([f"{day.year:04}", *pair] if form.startswith("iso") else [*pair, f"{day.year:04}"])
+        # A number that outgrows its digits changes the form, and the walk goes on.
         if _date_parts(out)[0] == form:  # type: ignore[index]
             return out
 
@@ -156,14 +162,34 @@ def _luhn(text: str) -> bool:
     return check_digit(digits[:-1]) == digits[-1]
 
 
+def _cards(run: str) -> Iterator[tuple[int, int]]:
+    """Valid numbers of 13 to 19 digits in a run of digits, which begin and end at the edges of its groups.
+
+    They may overlap; the longest come first, to be taken where nothing else is found.
+    """
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    found = []
+    for i, (a, _) in enumerate(groups):
+        digits = 0
+        for begin, b in groups[i:]:
+            digits += b - begin
+            if digits > 19:
+                break
+            if digits >= 13 and _luhn(run[a:b]):
+                found.append((-digits, a, b))
+    for _, a, b in sorted(found):
+        yield a, b
+
+
 KINDS: dict[str, tuple[str, Callable[[str], bool], Callable[[str, bytes, bool], str]]] = {
     "email": (r"(?<![\w.%+-])[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", lambda t: True, lambda t, k, b: permute(t.partition("@")[0], k, "email:" + t.partition("@")[2].lower(), back=b) + "@" + t.partition("@")[2]),
     "secret": (r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])", lambda t: bool(re.search("[A-Fa-f]", t) and re.search("[0-9]", t)), lambda t, k, b: permute(t, k, "secret", (HEX[t.upper() == t],), b)),
     "ip": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ip_valid, _ip),
-    "date": (r"(?<!\d)(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?!\d)", lambda t: _date_parts(t) is not None, _date),
+    "date": (r"(?<!\d)(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?!\d)", lambda t: _date_parts(t) is not None, _date),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn_valid, lambda t, k, b: _walk(t, k, "ssn", _ssn_valid, b)),
-    "phone": (r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|(?<![\d+])\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)", lambda t: True, lambda t, k, b: _phone(t, k, b)),
-    "card": (r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])", _luhn, _card),
+    "phone": (r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|(?<![\d+])\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d(?:[ .()-]{0,2}\d){7,14}(?!\d)", lambda t: True, lambda t, k, b: _phone(t, k, b)),
+    # A run of digits, in which ``_cards`` looks for numbers.
+    "card": (r"(?<![\d-])\d(?:[ -]?\d){12,}(?![\d-])", _luhn, _card),
 }
 
 
@@ -195,12 +221,14 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             continue
         valid = KINDS[kind][1]
         for m in finder.finditer(text):
-            if valid(m[0]):
+            if kind == "card":
+                found += [(m.start() + a, m.start() + b, kind) for a, b in _cards(m[0])]
+            elif valid(m[0]):
                 found.append((m.start(), m.end(), kind))
     rank = {kind: i for i, kind in enumerate(KINDS)}
     kept: list[tuple[int, int, str]] = []
     taken: list[tuple[int, int]] = []
-    for a, b, kind in sorted(found, key=lambda x: (rank[x[2]], x[0])):
+    for a, b, kind in sorted(found, key=lambda x: (rank[x[2]], 0 if x[2] == "card" else x[0])):
         if not _hit(taken, a, b):
             kept.append((a, b, kind))
             insort(taken, (a, b))

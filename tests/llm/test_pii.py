@@ -60,3 +60,30 @@ def test_odd_rows(spark, documents, odd_rows):
     assert sum(r["text"] is None for r in rows) == 2
     assert pii.pseudonymise(docs.limit(0), KEY).count() == 0
     assert pii.spans("a" * 200_000) == [] and len(pii.spans("1.2.3.4 " * 20_000)) == 20_000
+
+
+def test_cards_beside_other_digits():
+    told = lambda text: [text[a:b] for a, b, k in pii.spans(text) if k == "card"]
+    for card in ("4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"):
+        for text in (f"{card} 12/25", f"{card} 123", f"99 {card}", f"7 {card} 123 end", f"{card}-123"):
+            (one,) = told(text)
+            assert card in one
+            assert card not in pii.redact(text, KEY)[0]
+    assert told("4111111111111111 5500000000000004") == ["4111111111111111", "5500000000000004"]
+    # With the area code a longer run is valid too, which the phone rules out.
+    (area,) = [f"{n}" for n in range(200, 210) if pii._luhn(f"4111111111111111{n}")]
+    assert told(f"4111 1111 1111 1111 {area} 123 4567") == ["4111 1111 1111 1111"]
+    assert told("411111111111111112") == [] and told("x-4111111111111111") == []
+
+
+def test_other_phones_and_dates():
+    text = "+1 555 123 4567, 555 123 4567, +44 20 7946 0958; 3/7/2021, 1999-2-28, 28.2.2020, not 1999-2-30 nor +1 2 3"
+    found = [(k, text[a:b]) for a, b, k in pii.spans(text)]
+    assert found == [("phone", "+1 555 123 4567"), ("phone", "555 123 4567"), ("phone", "+44 20 7946 0958"), ("date", "3/7/2021"), ("date", "1999-2-28"), ("date", "28.2.2020")]
+    for kind, value in found:
+        new = pii.pseudonym(kind, value, KEY)
+        assert new != value and [c.isdigit() for c in new] == [c.isdigit() for c in value]
+        assert [k for _, _, k in pii.spans(new)] == [kind] and pii.pseudonym(kind, new, KEY, True) == value
+    assert [text[a:b] for text in ["+44 20 7946 0958 2024 12"] for a, b, _ in pii.spans(text)] == ["+44 20 7946 0958"]
+    days = {f"{m}/{d}/2021" for m in range(1, 10) for d in range(1, 10)}
+    assert len({pii.pseudonym("date", d, KEY) for d in days}) == len(days)
