@@ -97,7 +97,9 @@ def to_overview(w: Column, factor) -> Column:
 
 
 def from_overview(w: Column, factor) -> Column:
-    return window(*[multiplied(w[c], F.greatest(_long(factor), F.lit(1))) for c in ("x", "y", "width", "height")])
+    """The window in full-resolution pixels; an empty one stays as it is."""
+    made = window(*[multiplied(w[c], F.greatest(_long(factor), F.lit(1))) for c in ("x", "y", "width", "height")])
+    return F.when(is_empty(w), w).otherwise(made)
 
 
 def subdivide(w: Column, tile_width, tile_height) -> Column:

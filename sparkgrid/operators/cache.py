@@ -1,8 +1,9 @@
 """Cache keys and lookups.
 
-A key is a 128-bit digest of typed parts.  Spark's arithmetic has no unsigned
-wrap-around, so the digest is an Arrow-batched function: the bytes of all rows of
-a batch are mixed in side by side.
+A key is a 128-bit digest of typed parts.  As columns the digest is a fold over
+the parts' bytes with JVM expressions: Spark's longs do not wrap around, so each
+lane is kept as two halves of 32 bits.  Only doubles, whose bits no expression
+gives, go through an Arrow-batched function.
 """
 
 from __future__ import annotations
@@ -63,9 +64,62 @@ def hex_digest(parts: Sequence[tuple[str, object]]) -> str:
     return f"{high:016x}{low:016x}"
 
 
+def part_bytes(kind: str, value: Column) -> Column:
+    """The bytes of ``encode_part`` as an array of numbers."""
+    number = lambda v: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.call_function("shiftrightunsigned", v, k * 8).bitwiseAND(255))
+    tag = lambda c: F.array(F.lit(ord(c)).cast("long"))
+    if kind == "s":
+        text = value.cast("string")
+        raw, size = F.hex(text), F.octet_length(text).cast("long")
+        places = F.when(size > 0, F.sequence(F.lit(1).cast("long"), size)).otherwise(F.array().cast("array<bigint>"))
+        body = F.concat(number(size), F.transform(places, lambda k: F.conv(F.substr(raw, k * 2 - 1, F.lit(2)), 16, 10).cast("long")))
+    elif kind in ("u", "i"):
+        body = number(value.cast("long"))
+    elif kind == "b":
+        body = F.array(value.cast("long"))
+    else:
+        raise ValueError(f"no such kind of part: {kind}")
+    return F.when(value.isNull(), tag("n")).otherwise(F.concat(tag(kind), body))
+
+
+HALF = (1 << 32) - 1
+
+
+def _times(high: Column, low: Column, factor: int) -> tuple[Column, Column]:
+    """The product of a number in halves and a factor modulo 2^64: no step exceeds 2^50."""
+    f0, f1, f2, f3 = (factor >> s & 0xFFFF for s in (0, 16, 32, 48))
+    upper = lambda x, p, q: x * p + (x * q).bitwiseAND(0xFFFF) * 65536
+    second = low * f1
+    first = low * f0 + second.bitwiseAND(0xFFFF) * 65536
+    top = F.shiftright(first, 32) + F.shiftright(second, 16) + upper(low, f2, f3).bitwiseAND(HALF) + upper(high, f0, f1).bitwiseAND(HALF)
+    return top.bitwiseAND(HALF), first.bitwiseAND(HALF)
+
+
+def lane(numbers: Column, start: int, factor: int) -> Column:
+    """A lane of the digest over an array of bytes, as a struct (high, low) of its halves."""
+    half = lambda v: F.lit(v).cast("long")
+    zero = F.struct(half(start >> 32).alias("high"), half(start & HALF).alias("low"))
+
+    def mix(state: Column, byte: Column) -> Column:
+        high, low = _times(state["high"], state["low"].bitwiseXOR(byte), factor)
+        return F.struct(high.alias("high"), low.alias("low"))
+
+    return F.aggregate(numbers, zero, mix)
+
+
+def _hex(of: Column) -> Column:
+    return F.lower(F.concat(F.lpad(F.hex(of["high"]), 8, "0"), F.lpad(F.hex(of["low"]), 8, "0")))
+
+
 def cache_key(kinds: str, *parts: Column) -> Column:
     """Hex digest column of parts whose kinds are letters: s text, u unsigned, i signed, b boolean, d double; null is null of any kind."""
+    if "d" in kinds:
+        return _batched_key(kinds, *parts)
+    numbers = F.concat(*[part_bytes(k, c) for k, c in zip(kinds, parts, strict=True)])
+    return F.concat(_hex(lane(numbers, HIGH_START, HIGH_FACTOR)), _hex(lane(numbers, LOW_START, LOW_FACTOR)))
+
 
+def _batched_key(kinds: str, *parts: Column) -> Column:
     @F.pandas_udf("string")
     def key(*columns: pd.Series) -> pd.Series:
         rows = zip(*[c.astype(object).where(c.notna() | (k == "d" and c.map(lambda v: isinstance(v, float) and math.isnan(v))), None) for k, c in zip(kinds, columns, strict=True)], strict=True)
@@ -96,13 +150,8 @@ def conversion_key(identity: str, arguments: dict[str, str], step: int, tile_siz
 
 def tile_hash(level: Column, x: Column, y: Column) -> Column:
     """The low lane over a tile's identity, as a signed long."""
-
-    @F.pandas_udf("long")
-    def low(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        made = digests([b"".join(encode_part("u", v) for v in row) for row in zip(a, b, c, strict=True)])
-        return pd.Series([np.uint64(m[1]).astype(np.int64) for m in made])
-
-    return low(level, x, y)
+    low = lane(F.concat(*[part_bytes("u", c) for c in (level, x, y)]), LOW_START, LOW_FACTOR)
+    return F.shiftleft(low["high"], 32).bitwiseOR(low["low"])
 
 
 #: States of a lookup.

@@ -234,7 +234,8 @@ def to_overview(spark, sf_dir):
     return _some_windows(spark, sf_dir).select("event_id", windows.to_overview(F.col("win"), 4).alias("o")).select("event_id", "o.*")
 
 
-@query(f"WITH {WIN} SELECT event_id, x * 4 AS x, y * 4 AS y, w * 4 AS width, h * 4 AS height FROM win")
+@query(f"""WITH {WIN}, f AS (SELECT *, CASE WHEN w = 0 OR h = 0 THEN 1 ELSE 4 END AS k FROM win)
+    SELECT event_id, x * k AS x, y * k AS y, w * k AS width, h * k AS height FROM f""")
 def from_overview(spark, sf_dir):
     return _some_windows(spark, sf_dir).select("event_id", windows.from_overview(F.col("win"), 4).alias("o")).select("event_id", "o.*")
 
@@ -538,9 +539,25 @@ def cache_lookup_state(spark, sf_dir):
     return cache.lookup(requests, index).select("k", "state")
 
 
-@query()
+def _lane_sql(parts: str, start: int, factor: int) -> str:
+    """The lane of a digest over a list of bytes: 128-bit products, cut to 64 bits."""
+    return f"list_reduce(list_concat([{start}::UHUGEINT], ({parts})::UHUGEINT[]), lambda a, b: (xor(a, b) * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+
+
+def _number_sql(v: str) -> str:
+    return f"CASE WHEN {v} IS NULL THEN [110] ELSE list_concat([117], list_transform(range(0, 8), lambda k: (({v})::BIGINT >> (8 * k)::INT) & 255)) END"
+
+
+_KEY_SQL = f"list_concat(list_concat({_number_sql('event_id % 4 + 1')}, {_number_sql('CASE WHEN event_id % 3 <> 0 THEN event_id % 3 END')}), list_concat({_number_sql('event_id % 16')}, [115, 7, 0, 0, 0, 0, 0, 0, 0, 102, 108, 111, 97, 116, 51, 50]))"
+_TILE_SQL = f"list_concat(list_concat({_number_sql('event_id % 3')}, {_number_sql('event_id % 100')}), {_number_sql('event_id % 7')})"
+
+
+@query(f"""WITH d AS (SELECT event_id, {_lane_sql(_KEY_SQL, cache.HIGH_START, cache.HIGH_FACTOR)} AS high, {_lane_sql(_KEY_SQL, cache.LOW_START, cache.LOW_FACTOR)} AS low,
+        {_lane_sql(_TILE_SQL, cache.LOW_START, cache.LOW_FACTOR)} AS tile FROM events)
+    SELECT event_id, lower(lpad(hex(high::UBIGINT), 16, '0') || lpad(hex(low::UBIGINT), 16, '0')) AS cache_key,
+        CASE WHEN tile >= 9223372036854775808::UHUGEINT THEN (tile::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE tile::BIGINT END AS tile_hash FROM d""")
 def cache_key_digest(spark, sf_dir):
-    """A 128-bit key for each read; its wrapping arithmetic has no SQL."""
+    """A 128-bit key for each read, and a hash for each tile."""
     e = F.col("event_id")
     reads = rasters.events(spark, sf_dir)
     key = cache.read_key(e % 4 + 1, F.when(e % 3 != 0, e % 3), e % 16, F.lit("float32"))
