@@ -1,9 +1,9 @@
 """Cache keys and lookups.
 
-A key is a 128-bit digest of typed parts.  As columns the digest is a fold over
-the parts' bytes with JVM expressions: Spark's longs do not wrap around, so each
-lane is kept as two halves of 32 bits.  Only doubles, whose bits no expression
-gives, go through an Arrow-batched function.
+A key is a 128-bit digest of typed parts.  Spark's longs do not wrap around, and
+a fold over bytes with JVM expressions took thirty times as long (26 s for
+100,000 keys), so the digest is a function of Arrow batches: a numpy step mixes
+the next byte of all rows, and no row is handled on its own.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import struct
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,67 +64,59 @@ def hex_digest(parts: Sequence[tuple[str, object]]) -> str:
     return f"{high:016x}{low:016x}"
 
 
-def part_bytes(kind: str, value: Column) -> Column:
-    """The bytes of ``encode_part`` as an array of numbers."""
-    number = lambda v: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.call_function("shiftrightunsigned", v, k * 8).bitwiseAND(255))
-    tag = lambda c: F.array(F.lit(ord(c)).cast("long"))
+def part_bytes(kind: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ``encode_part`` for a batch: a row of bytes for each place, and how many each value has."""
+    n = len(column)
+    missing = np.asarray(column.is_null())
+    tag = np.full((1, n), ord(kind), np.uint8)
     if kind == "s":
-        text = value.cast("string")
-        raw, size = F.hex(text), F.octet_length(text).cast("long")
-        places = F.when(size > 0, F.sequence(F.lit(1).cast("long"), size)).otherwise(F.array().cast("array<bigint>"))
-        body = F.concat(number(size), F.transform(places, lambda k: F.conv(F.substr(raw, k * 2 - 1, F.lit(2)), 16, 10).cast("long")))
-    elif kind in ("u", "i"):
-        body = number(value.cast("long"))
+        text = column.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + n + 1]
+        raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+        sizes = np.diff(offsets)
+        at = np.arange(int(sizes.max(initial=0)))[:, None]
+        body = np.zeros((len(at), n), np.uint8)
+        inside = at < sizes
+        body[inside] = raw[(offsets[:-1] + at)[inside]]
+        parts, sizes = (tag, sizes.astype("<u8").view(np.uint8).reshape(n, 8).T, body), sizes + 9
+    elif kind in ("u", "i", "d"):
+        if kind == "d":
+            value = column.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False) + 0.0
+            # One NaN, one zero: requests that nobody can tell apart share a key.
+            bits = np.where(np.isnan(value), np.uint64(0x7FF8000000000000), value.view(np.uint64))
+        else:
+            bits = column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        parts, sizes = (tag, np.ascontiguousarray(bits.astype("<u8")).view(np.uint8).reshape(n, 8).T), np.full(n, 9)
     elif kind == "b":
-        body = F.array(value.cast("long"))
+        parts, sizes = (tag, column.cast(pa.uint8()).fill_null(0).to_numpy(zero_copy_only=False)[None, :]), np.full(n, 2)
     else:
         raise ValueError(f"no such kind of part: {kind}")
-    return F.when(value.isNull(), tag("n")).otherwise(F.concat(tag(kind), body))
+    grid = np.concatenate(parts)
+    grid[0, missing] = ord("n")
+    return grid, np.where(missing, 1, sizes)
 
 
-HALF = (1 << 32) - 1
-
-
-def _times(high: Column, low: Column, factor: int) -> tuple[Column, Column]:
-    """The product of a number in halves and a factor modulo 2^64: no step exceeds 2^50."""
-    f0, f1, f2, f3 = (factor >> s & 0xFFFF for s in (0, 16, 32, 48))
-    upper = lambda x, p, q: x * p + (x * q).bitwiseAND(0xFFFF) * 65536
-    second = low * f1
-    first = low * f0 + second.bitwiseAND(0xFFFF) * 65536
-    top = F.shiftright(first, 32) + F.shiftright(second, 16) + upper(low, f2, f3).bitwiseAND(HALF) + upper(high, f0, f1).bitwiseAND(HALF)
-    return top.bitwiseAND(HALF), first.bitwiseAND(HALF)
-
-
-def lane(numbers: Column, start: int, factor: int) -> Column:
-    """A lane of the digest over an array of bytes, as a struct (high, low) of its halves."""
-    half = lambda v: F.lit(v).cast("long")
-    zero = F.struct(half(start >> 32).alias("high"), half(start & HALF).alias("low"))
-
-    def mix(state: Column, byte: Column) -> Column:
-        high, low = _times(state["high"], state["low"].bitwiseXOR(byte), factor)
-        return F.struct(high.alias("high"), low.alias("low"))
-
-    return F.aggregate(numbers, zero, mix)
-
-
-def _hex(of: Column) -> Column:
-    return F.lower(F.concat(F.lpad(F.hex(of["high"]), 8, "0"), F.lpad(F.hex(of["low"]), 8, "0")))
+def lanes_of(kinds: str, columns: Sequence[pa.Array], wanted: Sequence[tuple[int, int]]) -> list[np.ndarray]:
+    """The lanes (start, factor) over the parts of all rows of a batch."""
+    n = len(columns[0])
+    lanes = [np.full(n, start, np.uint64) for start, _ in wanted]
+    for kind, column in zip(kinds, columns, strict=True):
+        grid, sizes = part_bytes(kind, column)
+        for at, byte in enumerate(grid.astype(np.uint64)):
+            here = at < sizes
+            for lane, (_, factor) in zip(lanes, wanted, strict=True):
+                np.copyto(lane, (lane ^ byte) * np.uint64(factor), where=here)
+    return lanes
 
 
 def cache_key(kinds: str, *parts: Column) -> Column:
     """Hex digest column of parts whose kinds are letters: s text, u unsigned, i signed, b boolean, d double; null is null of any kind."""
-    if "d" in kinds:
-        return _batched_key(kinds, *parts)
-    numbers = F.concat(*[part_bytes(k, c) for k, c in zip(kinds, parts, strict=True)])
-    return F.concat(_hex(lane(numbers, HIGH_START, HIGH_FACTOR)), _hex(lane(numbers, LOW_START, LOW_FACTOR)))
-
 
-def _batched_key(kinds: str, *parts: Column) -> Column:
-    @F.pandas_udf("string")
-    def key(*columns: pd.Series) -> pd.Series:
-        rows = zip(*[c.astype(object).where(c.notna() | (k == "d" and c.map(lambda v: isinstance(v, float) and math.isnan(v))), None) for k, c in zip(kinds, columns, strict=True)], strict=True)
-        made = digests([b"".join(encode_part(k, v) for k, v in zip(kinds, row, strict=True)) for row in rows])
-        return pd.Series([f"{h:016x}{low:016x}" for h, low in made])
+    @F.arrow_udf("string")
+    def key(*columns: pa.Array) -> pa.Array:
+        high, low = lanes_of(kinds, columns, [(HIGH_START, HIGH_FACTOR), (LOW_START, LOW_FACTOR)])
+        raw = np.stack([high, low], axis=1).astype(">u8").tobytes().hex()
+        return pa.array([raw[k : k + 32] for k in range(0, len(raw), 32)], pa.string())
 
     return key(*parts)
 
@@ -150,8 +142,13 @@ def conversion_key(identity: str, arguments: dict[str, str], step: int, tile_siz
 
 def tile_hash(level: Column, x: Column, y: Column) -> Column:
     """The low lane over a tile's identity, as a signed long."""
-    low = lane(F.concat(*[part_bytes("u", c) for c in (level, x, y)]), LOW_START, LOW_FACTOR)
-    return F.shiftleft(low["high"], 32).bitwiseOR(low["low"])
+
+    @F.arrow_udf("long")
+    def low(*columns: pa.Array) -> pa.Array:
+        (lane,) = lanes_of("uuu", columns, [(LOW_START, LOW_FACTOR)])
+        return pa.array(lane.view(np.int64))
+
+    return low(level, x, y)
 
 
 #: States of a lookup.

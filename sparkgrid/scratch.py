@@ -79,3 +79,11 @@ def ordered_prefix(df: DataFrame, order: Sequence[Column], sums: dict[str, Colum
     here = kept.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_s_{n}") for n in sums])
     out = here.join(base, "_range")
     return out.select(*df.columns, *[(F.col(f"_b_{n}") + F.col(f"_s_{n}")).alias(n) for n in sums])
+
+
+def unused(name: str, columns: Sequence[str]) -> str:
+    """``name``, or with underscores before it a name that none of the columns bears, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

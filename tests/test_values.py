@@ -155,6 +155,9 @@ def test_cache_keys(spark):
     rows = spark.createDataFrame([(1, None, 1, "float32"), (2, 3, 4, "uint8")], "b long, l long, s long, t string")
     got = [r[0] for r in rows.select(cache.read_key(*[F.col(c) for c in "blst"])).collect()]
     assert got == [cache.hex_digest([("u", 1), ("u", None), ("u", 1), ("s", "float32")]), cache.hex_digest([("u", 2), ("u", 3), ("u", 4), ("s", "uint8")])]
+    mixed = [("é" * 3, -5, True, -0.0), (None, None, None, None), ("", 2**62, False, float("nan"))]
+    frame = spark.createDataFrame(mixed, "s string, i long, b boolean, d double")
+    assert [r[0] for r in frame.select(cache.cache_key("sibd", *[F.col(c) for c in "sibd"])).collect()] == [cache.hex_digest(list(zip("sibd", row))) for row in mixed]
     low = one(spark, cache.tile_hash(F.lit(1), F.lit(2), F.lit(3)))[0]
     assert f"{low % 2**64:016x}" == cache.hex_digest([("u", 1), ("u", 2), ("u", 3)])[16:]
 
