@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrid.llm.scratch import ordered_prefix
+from sparkgrid.scratch import ordered_prefix
 
 END = "<|end|>\n"
 

@@ -18,15 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkgrid.llm.arrowtext import slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
-#: Training rows at most (a hash of the id picks them); the matrix holds this many languages at most.
+#: Training rows at most (a hash of the id picks them); they bound the languages and the counts that the driver gets.
 MAX_TRAIN_ROWS = 20_000
-MAX_LANGUAGES = 1024
 UND = "und"
 
 
@@ -112,10 +112,8 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
             yield pa.RecordBatch.from_arrays([pa.array([one] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "bucket", "n"])
 
     counted = rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long")
-    found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES * BUCKETS + 1).toArrow()
+    found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(found.column("lang").to_pylist()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     place = {x: i for i, x in enumerate(languages)}
     counts = np.zeros((BUCKETS, len(languages)))
     counts[found.column("bucket").to_numpy(), [place[x] for x in found.column("lang").to_pylist()]] = found.column("n").to_numpy()
@@ -134,8 +132,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*piece.select(rest).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*rest, "lang_pred", "score"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in rest])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(run, StructType(rows.schema.fields + StructType.fromDDL("lang_pred string, score double").fields))
 
 
 def held_out(key: Column, mod: int, rest: int) -> Column:

@@ -7,8 +7,8 @@ a hash of its id falls below the fraction of the rate.
 Defined results: a null text has size 0; a null source is a source of its own,
 ordered last; a source without words has target and rate 0; a row whose id is
 null draws as the text ``null`` would; rows that repeat an id all draw alike.
-Columns of the input that bear the name of one of ``COLUMNS`` are replaced.  An
-empty table stays empty.
+Columns of the input that bear the name of one of ``COLUMNS`` are replaced by
+``mix`` and kept by ``emit``; any others pass through.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrid.llm.scratch import ordered_prefix, stored
+from sparkgrid.scratch import ordered_prefix, stored, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 COLUMNS = ("size", "source_size", "target", "rate", "copies")
@@ -76,13 +76,14 @@ def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sourc
     """
     rest = [c for c in docs.columns if c not in COLUMNS]
     sized = docs.select(*[F.col(f"`{c}`") for c in rest], size.alias("size"))
-    per_source = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").cast("long").alias("source_size"))
-    targets = source_targets(per_source, **how).withColumnRenamed("source", "_source")
-    joined = sized.join(targets, sized[source].eqNullSafe(targets["_source"]))
+    per_source = sized.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sum("size").cast("long").alias("source_size"))
+    own = unused("_source", rest)
+    targets = source_targets(per_source, **how).withColumnRenamed("source", own)
+    joined = sized.join(targets, F.col(f"`{source}`").eqNullSafe(F.col(own)))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = joined.withColumn("rate", rate)
-    more = (draw(F.col(key), seed) < F.col("rate") - F.floor("rate")).cast("long")
-    return rated.withColumn("copies", F.floor("rate").cast("long") + more).select(*rest, *COLUMNS)
+    more = (draw(F.col(f"`{key}`"), seed) < F.col("rate") - F.floor("rate")).cast("long")
+    return rated.withColumn("copies", F.floor("rate").cast("long") + more).select(*[F.col(f"`{c}`") for c in rest], *COLUMNS)
 
 
 def emit(docs: DataFrame, size: Column, **how) -> DataFrame:

@@ -35,9 +35,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkgrid.llm.arrowtext import U64, bounds, multipliers, shingle_hashes, slices, word_hashes
-from sparkgrid.llm.scratch import discard, small_side, stored
+from sparkgrid.scratch import discard, small_side, stored, unused
 
 #: Base, rate and largest value of the registers: bytes that serve sets of 1 to 10^9 shingles.
 BASE, RATE, LARGEST = 1.1, 20.0, 255
@@ -116,7 +117,8 @@ def features(docs: DataFrame, k: int, key: str, text: str, carry: bool = False)
         return rows.mapInArrow(run, "id long, n long, digest binary, sketch binary")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     carried = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), whole)
-    return carried.mapInArrow(run, f"id long, n long, digest binary, row {carried.schema['row'].dataType.simpleString()}")
+    schema = StructType.fromDDL("id long, n long, digest binary").add("row", carried.schema["row"].dataType)
+    return carried.mapInArrow(run, schema)
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -361,15 +363,15 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.8, key: str = "do
     made, named, classes = _named(docs, k, threshold, key, text)
     rooted = made.select("id", "digest").join(named, "digest", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
     by_id = stored(rooted.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.first("component_id").alias("component_id")), "ids")
-    own = F.col(f"`{key}`").cast("long")
+    own, other = F.col(f"`{key}`").cast("long"), unused("_id", docs.columns)
     several = F.col("rows") > 1
-    gone = stored(by_id.filter(several | F.col("id").isNull() | (F.col("id") != F.col("component_id"))).select("id"), "gone")
-    out = docs.join(small_side(gone), own.eqNullSafe(F.col("id")), "left_anti")
-    again = stored(by_id.filter(several | F.col("id").isNull()).select("id"), "repeated-ids")
+    gone = stored(by_id.filter(several | F.col("id").isNull() | (F.col("id") != F.col("component_id"))).select(F.col("id").alias(other)), "gone")
+    out = docs.join(small_side(gone), own.eqNullSafe(F.col(other)), "left_anti")
+    again = stored(by_id.filter(several | F.col("id").isNull()).select(F.col("id").alias(other)), "repeated-ids")
     if again.isEmpty():
         discard(made, classes)
         return out
-    told = features(docs.join(small_side(again), own.eqNullSafe(F.col("id")), "left_semi"), k, key, text, carry=True)
+    told = features(docs.join(small_side(again), own.eqNullSafe(F.col(other)), "left_semi"), k, key, text, carry=True)
     met = told.join(named.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"), "left")
     alone = met.filter("digest IS NULL")
     first = met.filter("digest IS NOT NULL").filter(F.coalesce("component_id", F.col("id")).eqNullSafe(F.col("id"))).dropDuplicates(["root"])

@@ -25,6 +25,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkgrid.llm.arrowtext import slices
 
@@ -271,5 +272,4 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
             )
 
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias(text))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, n_found int, kinds map<string,int>")
+    return rows.mapInArrow(run, StructType(rows.schema.fields + StructType.fromDDL("n_found int, kinds map<string,int>").fields))

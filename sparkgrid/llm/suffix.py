@@ -35,9 +35,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkgrid.llm.arrowtext import U64, bounds, mix64, slices
-from sparkgrid.llm.scratch import discard, stored
+from sparkgrid.scratch import discard, stored, unused
 
 LENGTH = 200
 GRAM = 40
@@ -50,6 +51,7 @@ PART = 1 << 22
 BATCH_PIECES = 2048
 FAMILY = 1 << 17
 ADDED = ("n_bytes", "n_removed", "spans", "kept")
+RESULT = "n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary"
 
 _ROOT = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
@@ -310,14 +312,16 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(raw).alias("text_hash"), raw.alias("text"))
     ranges = repeated_ranges(rows.filter(F.octet_length("text") >= LENGTH))
-    by_doc = ranges.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct(F.col("from").alias("a"), F.col("upto").alias("b"))).alias("_ranges"))
-    joined = docs.select(*[F.col(f"`{c}`") for c in rest]).join(by_doc, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(raw) == F.col("_hash")), "left").select(*[F.col(f"`{c}`") for c in rest], "_ranges")
+    doc, mark, found = (unused(n, rest) for n in ("_doc", "_hash", "_ranges"))
+    by_doc = ranges.groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(mark)).agg(F.collect_set(F.struct(F.col("from").alias("a"), F.col("upto").alias("b"))).alias(found))
+    own = docs.select(*[F.col(f"`{c}`") for c in rest])
+    joined = own.join(by_doc, F.col(f"`{key}`").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(raw) == F.col(mark)), "left").select(*[F.col(f"`{c}`") for c in rest], found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, text):
             sizes, removed, spans, kept = [], [], [], []
             data, begin = bounds(piece.column(text).cast(pa.large_string()))
-            for a, b, ranges in zip(begin[:-1].tolist(), begin[1:].tolist(), piece.column("_ranges").to_pylist(), strict=True):
+            for a, b, ranges in zip(begin[:-1].tolist(), begin[1:].tolist(), piece.column(found).to_pylist(), strict=True):
                 runs = union_spans([(r["a"], r["b"]) for r in ranges or ()])
                 sizes.append(b - a)
                 removed.append(sum(y - x for x, y in runs))
@@ -335,5 +339,5 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 [*rest, *ADDED],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in rest]).schema.fields)
-    return joined.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary")
+    schema = StructType(own.schema.fields + StructType.fromDDL(RESULT).fields)
+    return joined.mapInArrow(run, schema)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkgrid.llm.arrowtext import U64, mix64, multipliers, slices
-from sparkgrid.llm.scratch import shared_dir
+from sparkgrid.scratch import shared_dir
 
 BLOCK = 128
 PERCENTILE = 90

@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkgrid.llm.arrowtext import U64, bounds, byte_table, slices, word_hashes
-from sparkgrid.llm.scratch import small_side, stored
+from sparkgrid.scratch import small_side, stored
 
 BUCKETS = 1 << 16
 EMBEDDING = 12
@@ -364,5 +365,4 @@ def score(docs: DataFrame, net: Net, thresholds: dict[str, float], text: str = "
             yield pa.RecordBatch.from_arrays([*piece.select(rest).columns, pa.array(scores, pa.float64()), pa.array(flagged, pa.bool_())], [*rest, "score", "flagged"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in rest])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, score double, flagged boolean")
+    return rows.mapInArrow(run, StructType(rows.schema.fields + StructType.fromDDL("score double, flagged boolean").fields))

@@ -56,8 +56,10 @@ def test_odd_rows(spark, documents, odd_rows):
     long = [r for r in run(documents(rows)) if r[0] in (7, 8)]
     assert len(long) == 2 and all(r[1] == r[2] and r[3] == 1 for r in long)
     assert run(documents([])) == []
-    clash = documents(rows).withColumns({"spans": F.lit("s"), "text_hash": F.lit("h"), "gram": F.lit("g"), "_ranges": F.lit("r")}).drop("_ranges")
+    clash = documents(rows).withColumns({"spans": F.lit("s"), "text_hash": F.lit("h"), "gram": F.lit("g"), "_ranges": F.lit("r"), "_doc": F.lit("d"), "_hash": F.lit("x")})
     assert run(clash) == run(documents(rows))
+    out = suffix.dedupe(clash).select("text_hash", "gram", "_ranges", "_doc", "_hash").distinct().collect()
+    assert [tuple(r) for r in out] == [("h", "g", "r", "d", "x")]
 
 
 def test_family_of_levels():
