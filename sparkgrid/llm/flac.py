@@ -1,8 +1,9 @@
 """FLAC: bytes stored losslessly as 8-bit mono samples, and read back as PCM blocks.
 
-The coder writes fixed predictors of order 0 to 2 (or a given linear predictor)
-with Rice residuals, or the samples verbatim where that is shorter, and one seek
-point for each frame.  The decoder takes constant, verbatim, fixed and linear
+The coder writes fixed predictors of order 0 to 2 or a linear predictor fitted to
+the frame, with Rice residuals, or the samples verbatim where that is shorter, and
+one seek point for each frame.  Streams and the PCM blocks decoded from them are
+tables in the shared folder; a block's first sample makes it findable.  The decoder takes constant, verbatim, fixed and linear
 subframes with any Rice partitioning or escape, and verifies the frame header's
 CRC-8, the frame's CRC-16 and the stream's MD5.  The frames of a slice of rows
 are coded and decoded side by side: a numpy step handles the next sample of all.
@@ -24,14 +25,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrid.llm.arrowtext import bounds, slices
+from sparkgrid.scratch import discard, stored
 
 BLOCK = 1024
 RATE = 8000
 PAD = 64
+#: Order of the linear predictors that are fitted, and bits of a weight.
+ORDER, PRECISION = 4, 15
 U64 = np.uint64
 #: Block sizes by their four-bit code in a frame header; 6 and 7 follow the header.
 SIZES = {1: 192, **{c: 576 << (c - 2) for c in range(2, 6)}, **{c: 256 << (c - 8) for c in range(8, 16)}}
@@ -98,34 +102,59 @@ def frame_header(number: int, size: int) -> bytes:
     return head + bytes([crc8(head)])
 
 
-def _residuals(samples: np.ndarray, sizes: np.ndarray, coefficients: tuple[int, ...] | None, shift: int) -> list[tuple[int, np.ndarray]]:
-    """For each candidate predictor its order and residuals, as zigzag numbers, 0 at warm-up and padding."""
-    inside = np.arange(samples.shape[1])[None, :] < sizes[:, None]
-    out = []
-    if coefficients is None:
-        step = samples
-        for order in range(3):
-            if order:
-                step = np.diff(step, axis=1, prepend=0)
-            out.append((order, step.copy()))
-    else:
-        guess = np.zeros_like(samples)
-        for j, c in enumerate(coefficients):
-            guess[:, j + 1 :] += c * samples[:, : -(j + 1)]
-        out.append((len(coefficients), samples - (guess >> shift)))
-    zigzag = []
-    for order, r in out:
-        z = (r << 1) ^ (r >> 31)
-        z[~inside] = 0
-        z[:, :order] = 0
-        zigzag.append((order, z))
-    return zigzag
+def _differences(samples: np.ndarray, order: int) -> np.ndarray:
+    """Residuals of the fixed predictor of an order."""
+    for _ in range(order):
+        samples = np.diff(samples, axis=1, prepend=0)
+    return samples
+
+
+def linear_predictors(samples: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of samples the weights of a linear predictor, as whole numbers, and their shift.
+
+    The autocorrelation is a sum of integers and all that follows goes element by
+    element, so a row's predictor does not depend on the rows beside it.
+    """
+    wide = samples.astype(np.int64)
+    lags = [(wide[:, : wide.shape[1] - k] * wide[:, k:]).sum(axis=1).astype(np.float64) for k in range(order + 1)]
+    error = lags[0] * (1 + 2.0**-30) + 2.0**-30
+    weights: list[np.ndarray] = []
+    for k in range(order):  # Levinson and Durbin's recursion
+        reflection = lags[k + 1].copy()
+        for j, w in enumerate(weights):
+            reflection -= w * lags[k - j]
+        reflection /= error
+        weights = [w - reflection * weights[k - 1 - j] for j, w in enumerate(weights)] + [reflection]
+        error = np.maximum(error * (1 - reflection * reflection), 2.0**-30)
+    table = np.stack(weights, axis=1)
+    largest = np.abs(table).max(axis=1)
+    shift = np.clip(PRECISION - 1 - np.frexp(largest)[1], 0, 15)
+    limit = (1 << PRECISION - 1) - 1
+    return np.clip(np.rint(table * (1 << shift)[:, None]), -limit, limit).astype(np.int64), shift
+
+
+def _predicted_from(samples: np.ndarray, weights: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Residuals of each row's linear predictor."""
+    guess = np.zeros(samples.shape, np.int64)
+    for j in range(weights.shape[1]):
+        guess[:, j + 1 :] += weights[:, j : j + 1] * samples[:, : -(j + 1)]
+    return samples - (guess >> shift[:, None])
+
+
+def _zigzag(residuals: np.ndarray, inside: np.ndarray, order: int) -> np.ndarray:
+    """Residuals as non-negative numbers, 0 at warm-up and padding."""
+    z = ((residuals << 1) ^ (residuals >> 31)).astype(np.int32)
+    z[~inside] = 0
+    z[:, :order] = 0
+    return z
 
 
 def encode(payloads: list[bytes], coefficients: tuple[int, ...] | None = None, shift: int = 0) -> list[bytes]:
     """A FLAC stream for each payload, whose bytes less 128 are the samples.
 
-    ``coefficients`` with ``shift`` makes linear subframes in place of fixed ones.
+    Each frame has the shortest of its fixed predictors of order 0 to 2, the linear
+    predictor fitted to it, and its samples verbatim; ``coefficients`` with
+    ``shift`` leave only that linear predictor or verbatim.
     """
     sizes: list[int] = []
     owner: list[int] = []
@@ -139,27 +168,35 @@ def encode(payloads: list[bytes], coefficients: tuple[int, ...] | None = None, s
     raw = np.frombuffer(b"".join(payloads), np.uint8)
     grid[inside] = raw.astype(np.int32) - 128
     best = (count * 8).astype(np.int64)  # verbatim
-    order_of, k_of = np.full(len(sizes), -1), np.zeros(len(sizes), np.int32)
-    zigzags = _residuals(grid, count, coefficients, shift)
-    for n, (order, z) in enumerate(zigzags):
+    chosen_kind, k_of = np.full(len(sizes), -1), np.zeros(len(sizes), np.int32)
+    #: Order, residuals, and for linear predictors each frame's weights and shift.
+    if coefficients is None:
+        kinds = [(order, _zigzag(_differences(grid, order), inside, order), None, None) for order in range(3)]
+        weights, shifts = linear_predictors(grid)
+    else:
+        kinds = []
+        weights, shifts = np.tile(np.array(coefficients, np.int64), (len(sizes), 1)), np.full(len(sizes), shift)
+    order = weights.shape[1]
+    kinds.append((order, _zigzag(_predicted_from(grid, weights, shifts), inside, order), weights, shifts))
+    for n, (order, z, weights, _) in enumerate(kinds):
         left = np.maximum(count - order, 1)
         base = np.frexp(z.sum(axis=1, dtype=np.int64) / left)[1] - 1
         for k in (np.clip(base - 1, 0, 14).astype(np.int32), np.clip(base, 0, 14).astype(np.int32)):
             cost = (z >> k[:, None]).sum(axis=1, dtype=np.int64) + left * (1 + k) + 8 * order + 10
-            if coefficients is not None:
-                cost += 9 + 15 * order
+            if weights is not None:
+                cost += 9 + PRECISION * order
             good = (cost < best) & (count > order)
-            best[good], order_of[good], k_of[good] = cost[good], n, k[good]
+            best[good], chosen_kind[good], k_of[good] = cost[good], n, k[good]
     regions: list[bytes] = [b""] * len(sizes)
-    for n, (order, z) in enumerate(zigzags):
-        chosen = np.flatnonzero(order_of == n)
+    for n, (order, z, weights, shifts) in enumerate(kinds):
+        chosen = np.flatnonzero(chosen_kind == n)
         if not len(chosen):
             continue
         k = k_of[chosen]
         used = inside[chosen]
         used[:, :order] = False
         z = z[chosen]
-        head = 10 if coefficients is None else 10 + 9 + 15 * order
+        head = 10 if weights is None else 10 + 9 + PRECISION * order
         lengths = np.where(used, (z >> k[:, None]) + 1 + k[:, None], 0)
         ends = np.cumsum(lengths, axis=1) + head
         room = -(-ends[:, -1] // 8)
@@ -167,10 +204,10 @@ def encode(payloads: list[bytes], coefficients: tuple[int, ...] | None = None, s
         bits = np.zeros(int(first[-1]) * 8, np.uint8)
         start = first[:-1] * 8
         field = np.zeros((len(chosen), head), np.uint8)
-        if coefficients is not None:
-            fields = [(14, 4), (shift, 5), *((c, 15) for c in coefficients)]
-            flat = [v >> b & 1 for v, w in fields for b in range(w - 1, -1, -1)]
-            field[:, : len(flat)] = flat
+        if weights is not None:
+            field[:, :4] = [(PRECISION - 1) >> b & 1 for b in (3, 2, 1, 0)]
+            field[:, 4:9] = shifts[chosen, None] >> np.arange(4, -1, -1) & 1
+            field[:, 9 : 9 + PRECISION * order] = (weights[chosen][:, :, None] >> np.arange(PRECISION - 1, -1, -1) & 1).reshape(len(chosen), -1)
         for b in range(4):
             field[:, head - 1 - b] = k >> b & 1
         bits[start[:, None] + np.arange(head)] = field
@@ -181,7 +218,7 @@ def encode(payloads: list[bytes], coefficients: tuple[int, ...] | None = None, s
             here = width >= b
             bits[last[here] - b] = (value[here] >> b) & 1
         packed = np.packbits(bits).tobytes()
-        kind = 0x10 | order << 1 if coefficients is None else 0x40 | (order - 1) << 1
+        kind = 0x10 | order << 1 if weights is None else 0x40 | (order - 1) << 1
         for j, f in enumerate(chosen.tolist()):
             warm = ((grid[f, :order]).astype(np.int8)).tobytes()
             regions[f] = bytes([kind]) + warm + packed[first[j] : first[j + 1]]
@@ -486,40 +523,68 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return rows.mapInArrow(run, MEDIA)
 
 
-BLOCKS = "doc_id long, first_sample long, n_samples int, pcm binary"
+BLOCKS = (
+    "doc_id long, row long, first_sample long, n_samples int, pcm binary, "
+    "whole struct<n_bytes:long,samples:long,sha256:string,media_bytes:long,media_sha256:string,feature:string>"
+)
+WHOLE = pa.struct([("n_bytes", pa.int64()), ("samples", pa.int64()), ("sha256", pa.string()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """PCM blocks of a table like ``store``'s: one row for each frame, with its first sample's number."""
+    """PCM blocks of a stored table like ``store``'s: one row for each frame, with its first sample's number.
+
+    ``row`` tells the texts apart.  A text's last block bears figures of the
+    whole: its length, the digests of its bytes and of its stream, and features.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "media"):
-            ids, firsts, pcm = [], [], []
-            for i, blocks in zip(piece.column("doc_id").to_pylist(), decode(piece.column("media").to_pylist()), strict=True):
-                ids += [i] * len(blocks)
-                firsts += [b[0] for b in blocks]
-                pcm += [b[1].tobytes() for b in blocks]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(firsts, pa.int64()), pa.array(map(len, pcm), pa.int32()), pa.array(pcm, pa.binary())], BLOCK_NAMES)
-
-    return media.mapInArrow(run, BLOCKS)
+            streams = piece.column("media").to_pylist()
+            rows: list[tuple] = []
+            for i, row, size, stream, blocks in zip(piece.column("doc_id").to_pylist(), piece.column("row").to_pylist(), piece.column("n_bytes").to_pylist(), streams, decode(streams), strict=True):
+                pcm = np.concatenate([b for _, b in blocks])
+                back = (pcm.view(np.uint8) ^ 0x80).tobytes()
+                whole = (size, len(back), hashlib.sha256(back).hexdigest(), len(stream), hashlib.sha256(stream).hexdigest(), features(pcm))
+                rows += [(i, row, first, len(b), b.tobytes(), None) for first, b in blocks[:-1]]
+                rows.append((i, row, blocks[-1][0], len(blocks[-1][1]), blocks[-1][1].tobytes(), dict(zip((f.name for f in WHOLE), whole, strict=True))))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), WHOLE)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "row", "first_sample", "n_samples", "pcm", "whole"])
 
+    return media.select("doc_id", F.monotonically_increasing_id().alias("row"), "n_bytes", "media").mapInArrow(run, BLOCKS)
 
-BLOCK_NAMES = ["doc_id", "first_sample", "n_samples", "pcm"]
-SUMMARY = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
+def samples_at(first: Column, count: Column) -> Column:
+    """The samples [first, first + count) that a row of ``pcm_blocks`` holds, null if none."""
+    begin = F.greatest(first, F.col("first_sample"))
+    end = F.least(first + count, F.col("first_sample") + F.col("n_samples"))
+    return F.when(begin < end, F.substring("pcm", (begin - F.col("first_sample") + 1).cast("int"), (end - begin).cast("int")))
 
-def summaries(media: DataFrame) -> DataFrame:
-    """Digests and features of the payloads read back from the streams of ``store``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "media"):
-            streams = piece.column("media").to_pylist()
-            rows = []
-            for stream, blocks in zip(streams, decode(streams), strict=True):
-                pcm = np.concatenate([b for _, b in blocks])
-                back = (pcm.view(np.uint8) ^ 0x80).tobytes()
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(stream), hashlib.sha256(stream).hexdigest(), features(pcm)))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("n_bytes"), *columns], [f.split()[0] for f in SUMMARY.split(", ")])
+def summaries(blocks: DataFrame) -> DataFrame:
+    """Digests and features of each text of a stored table of ``pcm_blocks``.
 
-    return media.mapInArrow(run, SUMMARY)
+    The tail is read by its offset: payload and block sizes are multiples of PAD,
+    so it lies in one block, the only one of a text that is read here.
+    """
+    whole = F.col("whole")
+    tail = samples_at(whole["samples"] - PAD, F.lit(PAD).cast("long"))
+    # A CRC-32 is affine: that of the bytes follows from that of the samples, which are the bytes less 128.
+    turned = zlib.crc32(b"\x80" * PAD) ^ zlib.crc32(bytes(PAD))
+    return blocks.filter(whole.isNotNull()).select(
+        "doc_id",
+        whole["n_bytes"].alias("n_bytes"),
+        whole["samples"].alias("payload_bytes"),
+        whole["sha256"].alias("payload_sha256"),
+        F.crc32(tail).bitwiseXOR(F.lit(turned)).alias("tail_crc32"),
+        whole["media_bytes"].alias("media_bytes"),
+        whole["media_sha256"].alias("media_sha256"),
+        whole["feature"].alias("feature"),
+    )
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Texts as FLAC streams in a table of the shared folder, and their PCM blocks, decoded from it, in another, which is returned."""
+    media = stored(store(docs, key, text), "flac")
+    blocks = stored(pcm_blocks(media), "pcm")
+    discard(media)
+    return blocks

@@ -59,7 +59,7 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.summaries(flac.store(table(spark, sf_dir, "documents")))
+    return flac.summaries(flac.keep(table(spark, sf_dir, "documents")))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
