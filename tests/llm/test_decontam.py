@@ -63,8 +63,46 @@ def test_proximity(spark, documents):
     docs = documents([(1, "red x fox"), (2, "fox a b c d red"), (3, "fox red"), (4, "red red red")])
     index = decontam.build_index(docs)
     items = spark.createDataFrame([(1, "red fox")], "item_id long, text string")
-    near = decontam.proximity(index, decontam.rare_first(index, decontam.test_windows(items)), span=3)
-    assert sorted(r[0] for r in near.join(index, "uid").select("doc_id").distinct().collect()) == [1, 3]
+    near = decontam.proximity(index, decontam.rare_first(index, decontam.test_windows(items)[0]), span=3)
+    assert sorted(r[0] for r in near.join(decontam.documents(index), "uid").select("doc_id").distinct().collect()) == [1, 3]
+
+
+def test_proximity_against_brute_force(spark, documents):
+    rng = random.Random(12)
+    vocabulary = ["the", "of", "é1", "ab", "x", "y2", "zz"]
+    items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate([1, 2, 3, 4, 4, 9])]
+    docs = [(k, " ".join(rng.choices(vocabulary, k=25))) for k in range(30)]
+    wins = {tuple(w[k : k + 8]) for _, t in items for w in [words(t)] for k in range(max(1, len(w) - 7))}
+    index = decontam.build_index(documents(docs))
+    ranked = decontam.rare_first(index, decontam.test_windows(spark.createDataFrame(items, "item_id long, text string"))[0])
+    rarest = {r["wid"]: r["lists"][0]["term"] for r in ranked.collect()}
+    count = {}
+    for _, t in docs:
+        for w in words(t):
+            count[w] = count.get(w, 0) + 1
+    hashes = {r["h"]: r["w"] for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    sets = {r["wid"]: frozenset(hashes[x["term"]] for x in r["lists"]) for r in ranked.collect()}
+    assert set(sets.values()) == {frozenset(w) for w in wins}
+    expected = set()
+    for doc_id, text in docs:
+        w = words(text)
+        for wid, wanted in sets.items():
+            for p, word in enumerate(w):
+                if word == hashes[rarest[wid]] and any(wanted <= set(w[s : s + 5]) for s in range(max(0, p - 4), p + 1)):
+                    expected.add((doc_id, wid, p))
+    near = decontam.proximity(index, ranked, span=5).join(decontam.documents(index), "uid")
+    rows = [(r["doc_id"], r["wid"], r["pos"]) for r in near.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected and expected
+
+
+def test_postings_lie_by_term(spark, documents):
+    index = decontam.build_index(documents([(k, f"w{k} of the w{k + 1}") for k in range(50)] + [(99, None)]).repartition(3))
+    shards = index.select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("at"), "term", "uid", "pos").collect()
+    by_file = {}
+    for r in sorted(shards, key=lambda r: r["at"]):
+        by_file.setdefault(r["f"], []).append(r["term"])
+    assert all([t for t in x if t is not None] == sorted(t for t in x if t is not None) for x in by_file.values())
+    assert sorted((r["doc_id"], r["n_words"]) for r in decontam.documents(index).collect()) == [*((k, 4) for k in range(50)), (99, 0)]
 
 
 def test_blocks_hold_everything(spark, documents, monkeypatch):
