@@ -36,6 +36,8 @@ WINDOW = 8
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a broadcast table of terms or windows at most; more go in more blocks.
 BLOCK_ROWS = 100_000
+#: Documents with candidates that are broadcast at most, as bare numbers.
+MOST_TOLD = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -133,7 +135,12 @@ def phrases(index: DataFrame, ranked: DataFrame) -> DataFrame:
         sized = near.join(part.select("wid", "held", "lists"), "wid").withColumn("length", F.size("lists"))
         rest = F.explode(F.slice("lists", 3, F.greatest(F.col("length") - 2, F.lit(0)))).alias("l")
         expected = stored(sized.filter("length > 2").select("uid", "wid", "start", rest).select("uid", "wid", "start", F.col("l.term").alias("term"), (F.col("start") + F.col("l.offset")).alias("pos")), "expected")
-        postings = index.filter("term IS NOT NULL").select("term", "uid", "pos")
+        # Of the common terms' lists only the candidates' documents matter, while these are few enough to be told to all.
+        postings = _list_of(index, F.broadcast(part.select(F.explode(F.slice("lists", 3, F.greatest(F.size("lists") - 2, F.lit(0)))).alias("l")).select("l.term").distinct()))
+        touched = stored(near.select("uid").distinct(), "touched")
+        known = small_side(touched, MOST_TOLD, 64 << 20)
+        if known is not touched:
+            postings = postings.join(known, "uid", "left_semi")
         hits = postings.join(small_side(expected), ["term", "uid", "pos"]).groupBy("uid", "wid", "start").agg(F.count(F.lit(1)).alias("n"))
         whole = sized.filter("length > 2").join(hits, ["uid", "wid", "start"]).filter("n = length - 2").unionByName(sized.filter("length <= 2"), allowMissingColumns=True)
         found.append(whole.select("uid", "wid", "held", "start", "length"))
