@@ -584,7 +584,7 @@ def summaries(blocks: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts as FLAC streams in a table of the shared folder, and their PCM blocks, decoded from it, in another, which is returned."""
-    media = stored(store(docs, key, text), "flac")
-    blocks = stored(pcm_blocks(media), "pcm")
+    media = stored(store(docs, key, text), "flac", "zstd")
+    blocks = stored(pcm_blocks(media), "pcm", "zstd")
     discard(media)
     return blocks
