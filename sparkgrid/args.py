@@ -81,9 +81,9 @@ def parse(values: Mapping[str, str], metadata_only: bool = False) -> RasterArgum
     if meshy and out.representation != "mesh":
         raise RasterError(Code.UnsupportedFormatArgument, f"{', '.join(meshy)} need representation=mesh")
     if out.fill_value is not None and out.nodata != "fill":
-        raise RasterError(Code.ConflictingFormatArguments, "fillValue requires nodata=fill")
+        raise RasterError(Code.ConflictingFormatArguments, "a fillValue is of use with nodata=fill alone")
     if out.nodata == "fill" and out.fill_value is None:
-        raise RasterError(Code.InvalidFormatArgument, "nodata=fill requires fillValue")
+        raise RasterError(Code.InvalidFormatArgument, "give the fillValue that nodata=fill should put in")
     if metadata_only:
         out.representation = "metadata"
     return out
@@ -92,16 +92,16 @@ def parse(values: Mapping[str, str], metadata_only: bool = False) -> RasterArgum
 def resolve_anchor(declared: str | None, argument: str | None) -> tuple[str, str]:
     """Anchor and where it is from: an argument may fill a gap, never override."""
     if declared and argument:
-        raise RasterError(Code.ConflictingFormatArguments, "pixelAnchor cannot override the anchor that the source declares")
+        raise RasterError(Code.ConflictingFormatArguments, "the file states its own anchor, so leave pixelAnchor out")
     if not declared and not argument:
-        raise RasterError(Code.MissingGeoreference, "pixel anchoring is absent; supply pixelAnchor=area or point")
+        raise RasterError(Code.MissingGeoreference, "the file states no anchor: choose one by pixelAnchor, area or point")
     return (declared, "file") if declared else (argument, "argument")  # type: ignore[return-value]
 
 
 def resolve_epsg(declared: int | None, argument: int | None) -> int | None:
     """A CRS code may be supplied where the source has none; another one is a conflict."""
     if declared and argument and declared != argument:
-        raise RasterError(Code.ConflictingFormatArguments, "epsg cannot override the CRS that the source declares")
+        raise RasterError(Code.ConflictingFormatArguments, "the file states another CRS than epsg does")
     return declared or argument
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 from enum import Enum
 from typing import Protocol
 
+import pyarrow.fs as pafs
+
 from sparkgrid.diagnostics import Code, RasterError
 
 
@@ -47,7 +50,7 @@ class FileSource:
     """A file that the reading process sees."""
 
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = re.sub(r"^file:(//)?", "", path)
         try:
             self.handle = open(self.path, "rb")  # noqa: SIM115
         except OSError as error:
@@ -66,6 +69,45 @@ class FileSource:
             return Status.failed, b""
         return _outcome(self.length, offset, length, data)
 
+    def close(self) -> None:
+        self.handle.close()
+
+
+class StoreSource:
+    """A file of an object store or HDFS, by URI: reads ask for their range and no more."""
+
+    def __init__(self, uri: str):
+        try:
+            store, path = pafs.FileSystem.from_uri(uri)
+            self.handle = store.open_input_file(path)
+            self.length = self.handle.size()
+        except (OSError, ValueError, NotImplementedError) as error:
+            raise RasterError(Code.SourceUnavailable, f"cannot open the source: {type(error).__name__}") from error
+
+    def size(self) -> int:
+        return self.length
+
+    def read(self, offset: int, length: int) -> tuple[Status, bytes]:
+        if offset > self.length:
+            return Status.end_of_source, b""
+        try:
+            data = self.handle.read_at(length, offset)
+        except OSError:
+            return Status.failed, b""
+        return _outcome(self.length, offset, length, data)
+
+    def close(self) -> None:
+        self.handle.close()
+
+
+def has_scheme(path: str) -> bool:
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", path) is not None and not path.startswith("file:")
+
+
+def open_source(path: str) -> FileSource | StoreSource:
+    """The source of a local path or of a URI that pyarrow's file systems know."""
+    return StoreSource(path) if has_scheme(path) else FileSource(path)
+
 
 class RecordingSource:
     """Notes every range before it is read."""

@@ -1,21 +1,27 @@
 """The "geogrid" data source: TIFF files as relations.
 
 ``relation`` is one of rasters, segments, chunks, pixels, read_stats, diagnostics.
-The driver reads headers only and plans which bytes a query needs; executors read
-and decode.  For pixels and chunks, filters on i, j and band are taken as a window
-and a band, so segments outside them are never read; Spark checks all filters
-again.  A window, a step or a level can also be given as options.
+The driver lists files and their sizes and opens none; a task takes a share of a
+file, or several small files, parses the header, plans which bytes the query
+needs, and reads and decodes its share of them.  For pixels and chunks, filters on
+i, j and band are taken as a window and a band, so segments outside them are never
+read; Spark checks all filters again.  A window, a step or a level can also be given
+as options.  Paths are local or URIs of stores that pyarrow reads by range.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import re
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from sparkgrid.args import can_read, safe_label
@@ -24,7 +30,7 @@ from sparkgrid.functions.bounds import FIELDS
 from sparkgrid.functions.affine import TERMS
 from sparkgrid.operators.grid import Window
 from sparkgrid.sources import tiff
-from sparkgrid.sources.bytesource import FileSource
+from sparkgrid.sources.bytesource import ByteSource, has_scheme, open_source
 
 BAND = "struct<index:int,data_type:string,nodata:double,scale:double,offset:double,description:string,unit:string>"
 CRS = (
@@ -41,21 +47,37 @@ SCHEMAS = {
     "read_stats": "raster_id string, requested_bytes bigint, fetched_bytes bigint, request_count bigint, amplification double",
     "diagnostics": ROW,
 }
-#: Batches that one task reads, and pixels of an Arrow batch.
+#: Bytes of files, or of a file's share, that one task takes, and pixels of an Arrow batch.
 TASK_BYTES = 8 << 20
 ARROW_ROWS = 1 << 16
+#: Files whose headers alone one task reads.
+FILES_OF_A_TASK = 64
 
 
-def files_of(paths: list[str]) -> list[str]:
-    """TIFF files of files, folders and patterns, in order of names."""
-    out = []
+def sized_files(paths: list[str]) -> list[tuple[str, int]]:
+    """TIFF files, and their sizes, of files, folders and patterns, in order of names."""
+    out: list[tuple[str, int]] = []
     for path in paths:
-        path = path.removeprefix("file://")
-        found = sorted(glob.glob(os.path.join(path, "**", "*"), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path)) or [path]
-        out += [f for f in found if can_read(f) and not os.path.isdir(f)] if os.path.isdir(path) or any(c in path for c in "*?[") else found
+        if has_scheme(path):
+            store, inner = pafs.FileSystem.from_uri(path)
+            head = path[: len(path) - len(inner.lstrip("/"))] if path.endswith(inner.lstrip("/")) else path.partition("//")[0] + "//"
+            info = store.get_file_info(inner)
+            found = [info] if info.is_file else sorted(store.get_file_info(pafs.FileSelector(inner, recursive=True)), key=lambda f: f.path)
+            out += [(head + f.path.lstrip("/"), f.size) for f in found if f.is_file and (f is info or can_read(f.path))]
+            continue
+        path = re.sub(r"^file:(//)?", "", path)
+        folder, pattern = os.path.isdir(path), any(c in path for c in "*?[")
+        names = sorted(glob.glob(os.path.join(path, "**", "*"), recursive=True)) if folder else sorted(glob.glob(path)) or [path]
+        if folder or pattern:
+            names = [f for f in names if can_read(f) and not os.path.isdir(f)]
+        out += [(f, os.path.getsize(f) if os.path.exists(f) else 0) for f in names]
     return out
 
 
+def files_of(paths: list[str]) -> list[str]:
+    return [f for f, _ in sized_files(paths)]
+
+
 def numbers(text: str | None, count: int, name: str) -> list[int] | None:
     if text is None:
         return None
@@ -70,13 +92,12 @@ def numbers(text: str | None, count: int, name: str) -> list[int] | None:
 
 @dataclass
 class Part(InputPartition):
-    """Work of a task: batches of segments of a file, or the whole of it."""
+    """Work of a task: shares (path, which, of how many) of files, and what filters allow."""
 
-    path: str
-    window: Window | None = None
-    batches: list | None = None
+    shares: list[tuple[str, int, int]]
     band: int | None = None
-    uncovered: bool = False
+    low: dict | None = None
+    high: dict | None = None
 
 
 class GeoGridSource(DataSource):
@@ -111,15 +132,14 @@ class Reader(DataSourceReader):
     def option(self, name: str, default: str | None = None) -> str | None:
         return next((v for k, v in self.options.items() if k.lower() == name.lower()), default)
 
-    def read_options(self, part: Part | None = None) -> tiff.Options:
+    def read_options(self) -> tiff.Options:
         level = self.option("overviewLevel")
-        # Filters are pushed where reads are planned; a task knows of them by its part.
-        band = self.band or (part.band if part else None) or int(self.option("band", "1"))
+        band = self.band or int(self.option("band", "1"))
         return tiff.Options(band, int(self.option("step", "1")), None if level is None else int(level), self.option("outputType", "float32"), int(self.option("memoryBudget", "0")), self.option("nodataStage", "converted"))
 
-    def files(self) -> list[str]:
+    def files(self) -> list[tuple[str, int]]:
         paths = self.option("paths")
-        return files_of(paths.split(";") if paths else [self.option("path") or ""])
+        return sized_files(paths.split(";") if paths else [self.option("path") or ""])
 
     def window(self, container: tiff.Container) -> Window:
         """The requested window, cut to what filters allow."""
@@ -144,86 +164,98 @@ class Reader(DataSourceReader):
         return Window(x, y, max(0, x1 - x), max(0, y1 - y)) if x1 > x and y1 > y else Window(w.x, w.y, 0, 0)
 
     def partitions(self) -> list[Part]:
-        if self.relation in ("rasters", "segments", "read_stats", "diagnostics"):
-            return [Part(f) for f in self.files()]
-        out = []
-        for path in self.files():
-            container = tiff.Container(FileSource(path))
-            p = tiff.plan(container, self.window(container), self.read_options())
-            group: list = []
-            size = 0
-            for batch in p.batches:
-                group.append(batch)
-                size += p.batch_range(batch)[1]
-                if size >= TASK_BYTES:
-                    out.append(Part(path, p.window, group, p.band))
-                    group, size = [], 0
-            if group:
-                out.append(Part(path, p.window, group, p.band))
-            columns, rows = p.columns()
-            if self.relation == "pixels" and not p.window.empty and (columns[-1] >= p.layout.width or rows[-1] >= p.layout.height):
-                out.append(Part(path, p.window, band=p.band, uncovered=True))
-        return out
+        """Shares of large files and groups of small ones, from the listing alone."""
+        whole = self.relation in ("rasters", "segments", "read_stats", "diagnostics")
+        out, group, size = [], [], 0
+        for path, length in self.files():
+            count = 1 if whole else max(1, -(-length // TASK_BYTES))
+            if count > 1:
+                out += [[(path, k, count)] for k in range(count)]
+                continue
+            group.append((path, 0, 1))
+            size += min(length, TASK_BYTES) if not whole else TASK_BYTES // FILES_OF_A_TASK
+            if size >= TASK_BYTES:
+                out.append(group)
+                group, size = [], 0
+        # Filters are pushed where reads are planned; a task knows of them by its part.
+        return [Part(shares, self.band, self.low, self.high) for shares in ([*out, group] if group else out)]
 
     def read(self, part: Part) -> Iterator:
-        if self.relation == "diagnostics":
-            yield from self.read_diagnostics(part)
-            return
-        source = FileSource(part.path)
-        sink = Sink()
-        container = tiff.Container(source, sink)
-        if self.relation == "rasters":
-            yield raster_row(part.path, container.metadata)
-        elif self.relation == "segments":
-            yield from segment_rows(part.path, container)
-        elif self.relation == "read_stats":
-            p = tiff.plan(container, self.window(container), self.read_options())
-            fetched, asked = p.fetched_bytes, p.requested_bytes
-            yield part.path, asked, fetched, len(p.batches), fetched / asked if asked else 0.0
-        elif self.relation == "chunks":
-            yield from self.read_chunks(part, source, container)
-        else:
-            yield from self.read_pixels(part, source, container)
-
-    def read_diagnostics(self, part: Part) -> Iterator[tuple]:
+        self.band, self.low, self.high = part.band, part.low or self.low, part.high or self.high
+        for path, which, count in part.shares:
+            if self.relation == "diagnostics":
+                yield from self.read_diagnostics(path)
+                continue
+            with closing(open_source(path)) as source:
+                container = tiff.Container(source, Sink())
+                if self.relation == "rasters":
+                    yield raster_row(path, container.metadata)
+                elif self.relation == "segments":
+                    yield from segment_rows(path, container)
+                elif self.relation == "read_stats":
+                    p = tiff.plan(container, self.window(container), self.read_options())
+                    fetched, asked = p.fetched_bytes, p.requested_bytes
+                    yield path, asked, fetched, len(p.batches), fetched / asked if asked else 0.0
+                elif self.relation == "chunks":
+                    yield from self.read_chunks(path, which, count, source, container)
+                else:
+                    yield from self.read_pixels(path, which, count, source, container)
+
+    def share(self, p: tiff.Plan, which: int, count: int) -> list[list[int]]:
+        """The batches of a plan that fall to one of so many tasks, about equal in bytes."""
+        if count == 1:
+            return p.batches
+        sizes = np.cumsum([p.batch_range(b)[1] for b in p.batches])
+        at = (sizes - 1) * count // max(1, sizes[-1]) if len(sizes) else sizes
+        return [b for b, k in zip(p.batches, at, strict=True) if k == which]
+
+    def read_diagnostics(self, path: str) -> Iterator[tuple]:
         sink = Sink()
         try:
-            container = tiff.Container(FileSource(part.path), sink)
-            if self.option("window"):
-                tiff.plan(container, self.window(container), self.read_options())
+            with closing(open_source(path)) as source:
+                container = tiff.Container(source, sink)
+                if self.option("window"):
+                    tiff.plan(container, self.window(container), self.read_options())
         except RasterError as error:
             sink.found.append(error.diagnostic)
         for seq, d in enumerate(sink.found):
-            yield d.row(part.path, seq)
+            yield d.row(path, seq)
 
-    def read_chunks(self, part: Part, source: FileSource, container: tiff.Container) -> Iterator[tuple]:
+    def read_chunks(self, path: str, which: int, count: int, source: ByteSource, container: tiff.Container) -> Iterator[tuple]:
         """Whole segments, in the order of their rows, as the file stores them at the level read."""
-        options = self.read_options(part)
-        p = tiff.plan(container, part.window, options)
+        options = self.read_options()
+        p = tiff.plan(container, self.window(container), options)
         band = container.metadata.band(options.band)
         level = -1 if p.layout is container.layout else (options.level if options.level is not None else -1)
-        for batch in part.batches or []:
+        for batch in self.share(p, which, count):
             start, length = p.batch_range(batch)
             data = tiff.exactly(source, start, length)
             for k in batch:
-                offset, count = p.segment(k)
-                values, _ = tiff.finish(tiff.decode_segment(p.layout, k, p.band, data[offset - start : offset - start + count]), band, options)
+                offset, size = p.segment(k)
+                values, _ = tiff.finish(tiff.decode_segment(p.layout, k, p.band, data[offset - start : offset - start + size]), band, options)
                 w = p.layout.window(k)
-                yield part.path, p.band, level, w.x, w.y, w.width, w.height, values.ravel().tolist()
+                yield path, p.band, level, w.x, w.y, w.width, w.height, values.ravel().tolist()
 
-    def read_pixels(self, part: Part, source: FileSource, container: tiff.Container) -> Iterator[pa.RecordBatch]:
-        options = self.read_options(part)
-        p = tiff.plan(container, part.window, options)
+    def read_pixels(self, path: str, which: int, count: int, source: ByteSource, container: tiff.Container) -> Iterator[pa.RecordBatch]:
+        options = self.read_options()
+        p = tiff.plan(container, self.window(container), options)
         band = container.metadata.band(options.band)
-        if part.uncovered:
-            columns, rows = p.columns()
-            outside = (columns >= p.layout.width)[None, :] | (rows >= p.layout.height)[:, None]
-            r, c = np.nonzero(outside)
-            yield from pixel_batches(part.path, p, c, r, None, None)
-            return
-        for batch in part.batches or []:
+        for batch in self.share(p, which, count):
             for c, r, values, missing in tiff.read_batch(source, p, batch, band, options):
-                yield from pixel_batches(part.path, p, np.tile(c, len(r)), np.repeat(r, len(c)), values.ravel(), missing.ravel())
+                yield from pixel_batches(path, p, np.tile(c, len(r)), np.repeat(r, len(c)), values.ravel(), missing.ravel())
+        yield from self.uncovered(path, p, which, count)
+
+    def uncovered(self, path: str, p: tiff.Plan, which: int, count: int) -> Iterator[pa.RecordBatch]:
+        """Samples past the level that is read, line by line of this task's share of the lines."""
+        columns, rows = p.columns()
+        if p.window.empty or (columns[-1] < p.layout.width and rows[-1] < p.layout.height):
+            return
+        beyond = np.flatnonzero(columns >= p.layout.width)
+        whole = np.arange(len(columns))
+        for r in range(len(rows) * which // count, len(rows) * (which + 1) // count):
+            c = whole if rows[r] >= p.layout.height else beyond
+            if len(c):
+                yield from pixel_batches(path, p, c, np.full(len(c), r), None, None)
 
 
 class PushingReader(Reader):
@@ -274,6 +306,11 @@ def segment_rows(path: str, container: tiff.Container) -> Iterator[tuple]:
 
 def rasters_from_bytes(files):
     """``rasters`` rows of a ``binaryFile`` DataFrame: for stores that only Spark reads."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(SCHEMAS["rasters"])
+    arrow = to_arrow_schema(schema)
+    plain = lambda v, t: {f.name: plain(x, f.dataType) for f, x in zip(t.fields, v, strict=True)} if isinstance(t, StructType) and v is not None else [plain(x, t.elementType) for x in v] if hasattr(t, "elementType") and v is not None else v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sparkgrid.sources.bytesource import MemorySource
@@ -281,10 +318,10 @@ def rasters_from_bytes(files):
         for batch in batches:
             for k in range(batch.num_rows):
                 path, data = batch.column("path")[k].as_py(), batch.column("content")[k].as_py()
-                m = tiff.Container(MemorySource(data)).metadata
-                yield pa.RecordBatch.from_pydict({"raster_id": [path], "source_label": [safe_label(path)], "width": [m.width], "height": [m.height], "band_count": [len(m.bands)]})
+                row = raster_row(path, tiff.Container(MemorySource(data)).metadata)
+                yield pa.RecordBatch.from_pylist([plain(row, schema)], arrow)
 
-    return files.select("path", "content").mapInArrow(run, "raster_id string, source_label string, width bigint, height bigint, band_count bigint")
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def pixels_from_bytes(files, options: tiff.Options | None = None, window: Window | None = None):

@@ -450,7 +450,7 @@ def plan(container: Container, window: Window, options: Options) -> Plan:
     across, down = window.sampled(out.step)
     out.workspace = across * down * 8 + largest
     if options.budget and out.workspace > options.budget:
-        raise RasterError(Code.MemoryBudgetExceeded, "the memory budget cannot satisfy the window read", **place)
+        raise RasterError(Code.MemoryBudgetExceeded, "this window needs more memory than its budget", **place)
     if is_lossy(band["data_type"], options.output_type):
         container.sink.warn(Code.LossyConversion, "the read applies a potentially lossy conversion", **place)
     return out

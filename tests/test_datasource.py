@@ -5,6 +5,8 @@ from pyspark.sql.datasource import EqualTo, GreaterThan
 
 from sparkgrid.raster import open_raster
 from sparkgrid.sources import register
+from sparkgrid.sources import tiff as tiffs
+from sparkgrid.sources.bytesource import RecordingSource, open_source
 from sparkgrid.sources.datasource import PushingReader, files_of, pixels_from_bytes, rasters_from_bytes
 from tests.tiffs import ramp, tiff
 
@@ -52,7 +54,12 @@ def test_filters_prune_segments(spark, folder):
     assert [(r["i"], r["value"]) for r in tiles.orderBy("i").collect()] == [(30, 670.0), (31, 671.0)]
     reader = PushingReader({"relation": "pixels", "path": str(folder / "tiles.TIFF")})
     assert len(list(reader.pushFilters([EqualTo(("j",), 20), GreaterThan(("i",), 29)]))) == 2
-    assert [p.batches for p in reader.partitions()] == [[[3]]]
+    (part,) = reader.partitions()
+    assert part.low == {"i": 30, "j": 20} and part.high == {"i": None, "j": 20}
+    source = RecordingSource(open_source(str(folder / "tiles.TIFF")))
+    container = tiffs.Container(source)
+    planned = tiffs.plan(container, reader.window(container), reader.read_options())
+    assert planned.batches == [[3]]
 
 
 def test_without_pushdown(spark, folder):
@@ -123,3 +130,61 @@ def test_open_metadata(spark, folder):
     with pytest.raises(RasterError) as error:
         open_raster(spark, str(folder / "strips.tif"), {"pixelAnchor": "area"})
     assert error.value.diagnostic.code is Code.ConflictingFormatArguments
+
+
+def test_open_with_level_window_and_tiles(spark, tmp_path):
+    from sparkgrid.diagnostics import RasterError
+    from sparkgrid.operators.grid import Window
+
+    (tmp_path / "wide.tif").write_bytes(tiff(ramp(160, 140), tile=(32, 32), compression=8, epsg=0))
+    path, ask = str(tmp_path / "wide.tif"), {"representation": "mesh", "nodata": "keep"}
+    coarse = open_raster(spark, path, ask, lod="balanced")
+    assert coarse["vertices"].count() == 40 * 35 and coarse["faces"].count() == 39 * 34
+    assert coarse["conversion"].first()["sampling_step"] == 4
+    some = open_raster(spark, path, ask, part=Window(10, 20, 5, 3))["vertices"].orderBy("vertex_id").collect()
+    assert [r["source_z"] for r in some] == [float(160 * j + i) for j in (20, 21, 22) for i in range(10, 15)]
+    made = open_raster(spark, path, ask, tile_size=64, epsg=32654)
+    tiles = {(r["tile_x"], r["tile_y"]): r["vertex_count"] for r in made["tiles"].collect()}
+    assert tiles == {(x, y): w * h for x, w in enumerate((65, 65, 32)) for y, h in enumerate((65, 65, 12))}
+    assert made["metadata"].first()["geo:crs"] == "EPSG:32654"
+    # At full density tiles hold the vertices of the whole, those on shared edges more than once.
+    assert sum(tiles.values()) == 160 * 140 + 2 * 140 + 2 * 160 + 4
+    for wrong in ({"lod": "best"}, {"tile_size": 48}, {"part": Window(150, 0, 20, 5)}, {"part": Window(0, 0, 0, 5)}):
+        with pytest.raises(RasterError):
+            open_raster(spark, path, ask, **wrong)
+
+
+def test_large_files_are_shared_out(spark, tmp_path, monkeypatch):
+    from sparkgrid.sources import datasource
+
+    monkeypatch.setattr(datasource, "TASK_BYTES", 1 << 12)
+    for n in range(3):
+        (tmp_path / f"r{n}.tif").write_bytes(tiff(ramp(64, 64 if n else 200), rows=4))
+    reader = datasource.Reader({"relation": "pixels", "path": str(tmp_path)})
+    parts = reader.partitions()
+    assert max(n for p in parts for _, _, n in p.shares) > 2
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 64 * (200 + 64 + 64)
+    headers = datasource.Reader({"relation": "rasters", "path": str(tmp_path)})
+    assert [len(p.shares) for p in headers.partitions()] == [3]
+
+
+def test_store_sources(tmp_path):
+    from sparkgrid.diagnostics import RasterError
+    from sparkgrid.sources.bytesource import Status, StoreSource
+
+    (tmp_path / "a.bin").write_bytes(bytes(range(100)))
+    source = StoreSource(f"file://{tmp_path}/a.bin")
+    assert source.size() == 100 and source.read(10, 5) == (Status.ok, bytes(range(10, 15)))
+    assert source.read(98, 5) == (Status.short_read, bytes([98, 99])) and source.read(101, 1) == (Status.end_of_source, b"")
+    with pytest.raises(RasterError):
+        StoreSource(f"file://{tmp_path}/none.bin")
+
+
+def test_tile_edges_and_tiles_of_a_folder(spark, tmp_path):
+    from sparkgrid.operators import tiling
+
+    frame = spark.range(9 * 9).select((F.col("id") % 9).alias("c"), F.expr("id div 9").alias("r"), F.lit(0).alias("level"))
+    tiling.write_tiles(tiling.shared_edges(frame, 4, 9, 9), str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.filter("level = 0 AND tile_x = 1 AND tile_y = 0").count() == 25
+    assert back.select("c", "r").distinct().count() == 81 and back.count() == 100

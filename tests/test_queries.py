@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from sparkgrid.plans import files
 from sparkgrid.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,12 @@ def test_query(spark, duck, name):
     same_rows(plans.QUERIES[name](spark, SF), duck, plans.ORACLE_SQL[name])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", list(files.ORACLE_SQL))
+def test_files(spark, duck, name):
+    same_rows(files.QUERIES[name](spark, SF), duck, files.ORACLE_SQL[name])
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 def test_entry(spark):
     import __spark_entry__ as entry
