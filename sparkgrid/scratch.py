@@ -58,17 +58,19 @@ def small_side(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32 << 20
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
-def ordered_prefix(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], label: str) -> DataFrame:
+def ordered_prefix(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], label: str, deal: Sequence[Column] | None = None) -> DataFrame:
     """Add, for each name in ``sums``, the sum of that column over all rows up to
     and including this one in the order of ``order``.
 
     No task sees more than one range of the rows: the table is dealt by range
     (a unique last key splits runs of equal rows), summed within each range, and
-    the ranges' totals, one row for each, are then summed over.
+    the ranges' totals, one row for each, are then summed over.  ``deal`` are other
+    keys for the ranges, which must go by the order: Spark brings a sample of the
+    keys to the driver, so they should be short.
     """
     ranged = (
         df.withColumn("_uid", F.monotonically_increasing_id())
-        .repartitionByRange(*order, F.col("_uid"))
+        .repartitionByRange(*(deal or (*order, F.col("_uid"))))
         .withColumn("_range", F.spark_partition_id())
     )
     kept = stored(ranged.select("*", *[c.cast("long").alias(f"_v_{n}") for n, c in sums.items()]), label)
