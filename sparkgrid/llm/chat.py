@@ -2,9 +2,16 @@
 the assistant, the others as named users, and a loss mask on the assistant's turns.
 
 The rendering comes as one row for each turn, with the place of the turn in the
-rendered dialogue, so no dialogue is ever gathered into one task: participants
-are a distinct (combined before the shuffle), turns meet them by an equi-join that
-Spark splits where one dialogue is hot, and offsets are prefix sums over ranges.
+rendered dialogue, so no dialogue is ever gathered into one task.  All that is
+dealt, sorted and summed is numbers; the texts are moved once, when each turn meets
+its perspectives at the end:
+
+1. Turns are put in order, which is the same for all perspectives, and the lengths
+   they have as users' turns are summed up: prefix sums over ranges.
+2. Turns meet the speakers of their dialogue by an equi-join that Spark splits where
+   one dialogue is hot, and each speaker's own turns are counted up likewise.
+3. An assistant's header differs from a user's by a fixed number of characters, so
+   the two sums give the offset.
 
 Defined results: a null role is the speaker ``unknown``; a null text is empty; a
 null turn comes first; rows without conv_id form one dialogue; turns with equal
@@ -17,9 +24,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrid.scratch import ordered_prefix
+from sparkgrid.scratch import ordered_prefix, small_side, stored
+
+ASSISTANT, USER, CLOSE, END = "<|assistant|>\n", "<|user:", "|>\n", "<|end|>\n"
+#: Characters of a text that deal turns equal in number and role.
+PREFIX = 256
+
+
+def _same(left: DataFrame, right: DataFrame, *columns: str):
+    """Whether the columns of the left are those of the right, whose names have an underscore before."""
+    out = F.lit(True)
+    for c in columns:
+        out &= left[c].eqNullSafe(right[f"_{c}"])
+    return out
 
-END = "<|end|>\n"
+
+def _ties(said: DataFrame) -> DataFrame | None:
+    """The rank by text of each text among the turns of the same number and role; none if there are no such turns."""
+    key = ("conv_id", "turn", "role")
+    several = said.groupBy(*key).agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).filter("lo <> hi")
+    several = stored(several.select(*[F.col(c).alias(f"_{c}") for c in key]), "chat-ties")
+    if several.isEmpty():
+        return None
+    texts = said.join(several, _same(said, several, *key), "left_semi").groupBy(*key, "hash").agg(F.first("text").alias("text"))
+    order = [F.col(c).asc_nulls_first() for c in key]
+    # Texts with a common beginning stay in one range, where the whole texts order them.
+    ranked = ordered_prefix(texts, [*order, F.col("text")], {"tie": F.lit(1)}, "chat-ranks", [*order, F.substring("text", 1, PREFIX)])
+    return ranked.select(*[F.col(c).alias(f"_{c}") for c in (*key, "hash")], "tie")
 
 
 def rotate(turns: DataFrame) -> DataFrame:
@@ -29,33 +60,42 @@ def rotate(turns: DataFrame) -> DataFrame:
     dialogue; the row's characters are [begin_char, begin_char + n_chars), of
     which the text, without its header, counts in the loss where mask is 1.
     """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     said = turns.select(
+        F.monotonically_increasing_id().alias("uid"),
         "conv_id",
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    speakers = said.select(F.col("conv_id").alias("_conv"), F.col("role").alias("perspective")).distinct()
-    own = F.col("role") == F.col("perspective")
-    header = F.when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user:"), "role", F.lit("|>\n")))
-    seen = said.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(
-        "conv_id", "perspective", "turn", "role", "text", F.concat(header, "text", F.lit(END)).alias("rendered"), own.cast("int").alias("mask")
+        text.alias("text"),
+        F.xxhash64(text).alias("hash"),
     )
-    sized = seen.withColumn("n_chars", F.length("rendered").cast("long"))
-    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "perspective", "turn", "role", "text")]
-    summed = ordered_prefix(sized, order, {"_chars": F.col("n_chars"), "_rows": F.lit(1)}, "chat")
-    first = summed.groupBy(F.col("conv_id").alias("_conv"), F.col("perspective").alias("_view")).agg(
-        F.min(F.col("_chars") - F.col("n_chars")).alias("_chars0"), (F.min("_rows") - 1).alias("_rows0")
-    )
-    placed = summed.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("perspective") == F.col("_view")))
-    return placed.select(
-        "conv_id",
-        "perspective",
-        (F.col("_rows") - F.col("_rows0")).alias("seq"),
-        "turn",
-        "role",
-        "rendered",
-        (F.col("_chars") - F.col("n_chars") - F.col("_chars0")).alias("begin_char"),
-        "n_chars",
-        "mask",
+    said = stored(said, "said")
+    as_user = (F.length("text") + F.length("role") + len(USER + CLOSE + END)).cast("long").alias("as_user")
+    narrow = said.select("uid", "conv_id", "turn", "role", "hash", as_user)
+    ties = _ties(said)
+    if ties is None:
+        narrow = narrow.withColumn("tie", F.lit(0).cast("long"))
+    else:
+        narrow = narrow.join(ties, _same(narrow, ties, "conv_id", "turn", "role", "hash"), "left").select(*narrow.columns, F.coalesce("tie", F.lit(0)).alias("tie"))
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "tie")]
+    lines = ordered_prefix(narrow, order, {"at": F.lit(1), "upto": F.col("as_user")}, "chat")
+    lines = stored(lines.select("uid", "conv_id", "role", "at", (F.col("upto") - F.col("as_user")).alias("before")), "chat-lines")
+    first = lines.groupBy("conv_id").agg((F.min("at") - 1).alias("rows0"), F.min("before").alias("chars0"))
+    first = first.select(F.col("conv_id").alias("_conv_id"), "rows0", "chars0")
+    speakers = lines.groupBy("conv_id", F.col("role").alias("perspective")).agg(F.count(F.lit(1)).alias("said"))
+    speakers = speakers.join(first, _same(speakers, first, "conv_id")).select(F.monotonically_increasing_id().alias("view"), F.col("conv_id").alias("_conv_id"), "perspective", "rows0", "chars0", "said")
+    # Turns by the speakers of all views before.
+    speakers = ordered_prefix(stored(speakers, "speakers"), [F.col("view")], {"turns0": F.col("said")}, "chat-speakers").withColumn("turns0", F.col("turns0") - F.col("said"))
+    speakers = stored(speakers, "speakers")
+    few = small_side(speakers)
+    own = (F.col("role") == F.col("perspective")).cast("int")
+    views = lines.join(few.select("_conv_id", "perspective", "view"), _same(lines, few, "conv_id")).select("view", "at", "uid", "before", own.alias("mask"))
+    counted = ordered_prefix(views, [F.col("view"), F.col("at")], {"turns": F.col("mask")}, "chat-views")
+    # What the assistant's earlier turns are longer than they would be as a user's.
+    longer = (F.col("turns") - F.col("mask") - F.col("turns0")) * (F.lit(len(ASSISTANT + END)) - F.length("perspective") - len(USER + CLOSE + END))
+    placed = counted.join(few.select("view", "perspective", "rows0", "chars0", "turns0"), "view").select(
+        "uid", "perspective", "mask", (F.col("at") - F.col("rows0")).alias("seq"), (F.col("before") - F.col("chars0") + longer).cast("long").alias("begin_char")
     )
+    header = F.when(F.col("mask") == 1, F.lit(ASSISTANT)).otherwise(F.concat(F.lit(USER), "role", F.lit(CLOSE)))
+    out = said.select("uid", "conv_id", "turn", "role", "text").join(placed, "uid").withColumn("rendered", F.concat(header, "text", F.lit(END)))
+    return out.select("conv_id", "perspective", "seq", "turn", "role", "rendered", "begin_char", F.length("rendered").cast("long").alias("n_chars"), "mask")

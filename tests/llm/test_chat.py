@@ -45,3 +45,9 @@ def test_odd_rows(spark):
 
 def test_one_hot_dialogue(spark):
     check(spark, [(1, k % 50, "ab"[k % 2], f"t{k}") for k in range(400)])
+
+
+def test_ties_go_by_text(spark):
+    long = "x" * 300
+    turns = [(k % 2, 0, "a", long + t) for k, t in enumerate(["b", "é", "a", "", "b", "zz"])] + [(None, None, "a", t) for t in ("q", "p", None)] + [(0, 1, "b", "end")]
+    check(spark, turns)
