@@ -3,9 +3,10 @@
 Card, phone, social security and IP numbers, dates, mail addresses and
 long hexadecimal secrets are found, validated, and permuted within their format
 by a keyed Feistel network: a card stays a card with a right check digit, a date
-a date; what is not valid stays.  The permutation depends on the key and the format alone, so equal values
-stay equal across documents, different ones stay different, and the key's holder
-can undo it.
+a date; what is not valid stays.  The permutation depends on the key and the kind
+alone, so equal values stay equal across documents, also where a card, a phone number
+or a date is written in another form, different ones stay different, and the key's
+holder can undo it.
 
 Defined results: a null text stays null with no finding; an empty one stays empty;
 every row of a repeated document is treated alike; other columns pass through
@@ -146,16 +147,29 @@ def _date_parts(text: str) -> tuple[str, str, datetime.date] | None:
     return None
 
 
+def _writable(day: datetime.date) -> tuple[bool, bool, bool]:
+    """What decides in which forms a date can be written: days or months of one digit, days that no month has as its number."""
+    return day.month > 9, day.day > 9, day.day > 12
+
+
+@lru_cache(1 << 14)
+def _other_day(day: datetime.date, key: bytes, back: bool) -> datetime.date:
+    """The date's pseudonym, one that can be written in the same forms: a permutation of such dates."""
+    ordinal = day.toordinal() - 1
+    while True:
+        ordinal = feistel(ordinal, DAYS, key, "date", back)
+        other = datetime.date.fromordinal(ordinal + 1)
+        if _writable(other) == _writable(day):
+            return other
+
+
 def _date(text: str, key: bytes, back: bool) -> str:
+    """The form stays; what it is filled with depends on the date alone, so one date's spellings stay linked."""
     form, sep, day = _date_parts(text)  # type: ignore[misc]
-    while True:
-        day = datetime.date.fromordinal(feistel(day.toordinal() - 1, DAYS, key, f"date:{form}", back) + 1)
-        first, second = (day.day, day.month) if form.startswith("dmy") else (day.month, day.day)
-        pair = [f"{v:0{w}}" for v, w in zip((first, second), (int(w) for w in form[3:] or "22"), strict=True)]
-        out = sep.join([f"{day.year:04}", *pair] if form.startswith("iso") else [*pair, f"{day.year:04}"])
-        # A number that outgrows its digits changes the form, and the walk goes on.
-        if _date_parts(out)[0] == form:  # type: ignore[index]
-            return out
+    day = _other_day(day, key, back)
+    first, second = (day.day, day.month) if form.startswith("dmy") else (day.month, day.day)
+    pair = [f"{v:0{w}}" for v, w in zip((first, second), (int(w) for w in form[3:] or "22"), strict=True)]
+    return sep.join([f"{day.year:04}", *pair] if form.startswith("iso") else [*pair, f"{day.year:04}"])
 
 
 def _luhn(text: str) -> bool:
@@ -195,10 +209,11 @@ KINDS: dict[str, tuple[str, Callable[[str], bool], Callable[[str, bytes, bool],
 
 
 def _phone(text: str, key: bytes, back: bool) -> str:
-    """The country code stays, the national number is permuted."""
+    """Country code and punctuation stay, the digits of the national number are permuted: its spellings stay linked."""
     code = re.match(r"\+\d{1,3}[ .-]?(?=[(\d])", text)
     at = code.end() if code else 0
-    return text[:at] + permute(text[at:], key, "phone", back=back)
+    fresh = iter(permute(re.sub(r"\D", "", text[at:]), key, "phone", back=back))
+    return text[:at] + "".join(next(fresh) if c.isdigit() else c for c in text[at:])
 
 
 #: A text without any of these holds nothing to find.
