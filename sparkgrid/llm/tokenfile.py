@@ -24,6 +24,7 @@ segment.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -180,13 +181,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
-        self.by = [multipliers(64, seed) for seed in (11, 12)]
+        # Secret multipliers, so that no text can be made whose pre-tokens collide; the ids do not depend on them.
+        self.seeds = [int.from_bytes(os.urandom(8), "little") for _ in range(2)]
+        self.by = [multipliers(64, seed) for seed in self.seeds]
         self.apart = self.ids(["\n"])[0]
         self.cuts = len(self.apart) == 1
         self.cuts = self.cuts and self.encode([PROBE])[0].tobytes() == self.ids([PROBE])[0].tobytes()
 
     def forget(self) -> None:
-        self.slots = np.zeros((3, 1 << SLOT_BITS), U64)  # two hashes; where in the pool, and how many
+        self.slots = np.zeros((4, 1 << SLOT_BITS), U64)  # two hashes; where in the pool, and how many
         self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -203,8 +206,8 @@ class Encoder:
         return at
 
     def learned(self, words: list[bytes]) -> np.ndarray:
-        """Place in the pool << 24 | number of ids, for each of distinct pre-tokens."""
-        out = np.zeros(len(words), U64)
+        """Place in the pool and number of ids, for each of distinct pre-tokens."""
+        out = np.zeros((2, len(words)), U64)
         space = np.array([w.isspace() for w in words], bool)
         plain = np.flatnonzero(~space)
         (flat,) = self.ids([b"\n".join([words[i] for i in plain]).decode()])
@@ -212,12 +215,12 @@ class Encoder:
         if len(cuts) == len(plain) - 1:
             at = self.keep(flat)
             edges = np.concatenate([[-1], cuts, [len(flat)]])
-            out[plain] = ((edges[:-1] + 1 + at) << 24 | (np.diff(edges) - 1)).astype(U64)
+            out[:, plain] = (edges[:-1] + 1 + at).astype(U64), (np.diff(edges) - 1).astype(U64)
             other = np.flatnonzero(space)
         else:
             other = np.arange(len(words))
         for i, ids in zip(other, self.ids([words[i].decode() for i in other]) if len(other) else [], strict=True):
-            out[i] = self.keep(ids) << 24 | len(ids)
+            out[:, i] = self.keep(ids), len(ids)
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -232,15 +235,15 @@ class Encoder:
         sizes = np.diff(np.append(starts, len(data)))
         longest = int(sizes.max())
         if longest > len(self.by[0]):
-            self.by = [multipliers(longest, seed) for seed in (11, 12)]
+            self.by = [multipliers(longest, seed) for seed in self.seeds]
         place = np.arange(len(data)) - np.repeat(starts, sizes)
         values = data.astype(U64) + U64(1)
         first, second = (mix64(np.add.reduceat(values * by[place], starts) + sizes.astype(U64)) for by in self.by)
         if self.used > POOL_IDS:
             self.forget()
         slot = (first >> U64(64 - SLOT_BITS)).astype(np.int64)
-        entry = self.slots[2][slot]
-        lost = np.flatnonzero((self.slots[0][slot] != first) | (self.slots[1][slot] != second) | (entry == 0))
+        held, counts = self.slots[2][slot], self.slots[3][slot]
+        lost = np.flatnonzero((self.slots[0][slot] != first) | (self.slots[1][slot] != second) | (counts == 0))
         if len(lost):
             # Doubtful texts' cuts may split a character; they are encoded whole.
             lost = lost[~doubt[np.searchsorted(begin, starts[lost], "right") - 1]]
@@ -250,11 +253,11 @@ class Encoder:
             clash = second[lost] != second[one][back]  # of 64 bits, not of 128
             doubt[np.searchsorted(begin, starts[lost[clash]], "right") - 1] = True
             fresh = self.learned([flat[a : a + n] for a, n in zip(starts[one].tolist(), sizes[one].tolist(), strict=True)])
-            entry[lost] = fresh[back]
-            self.slots[0][slot[one]], self.slots[1][slot[one]], self.slots[2][slot[one]] = first[one], second[one], fresh
-        counts = (entry & U64((1 << 24) - 1)).astype(np.int64)
+            held[lost], counts[lost] = fresh[:, back]
+            self.slots[:, slot[one]] = first[one], second[one], *fresh
+        counts = counts.astype(np.int64)
         total = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.pool[np.arange(total[-1]) + np.repeat((entry >> U64(24)).astype(np.int64) - total[:-1], counts)]
+        ids = self.pool[np.arange(total[-1]) + np.repeat(held.astype(np.int64) - total[:-1], counts)]
         edges = total[np.searchsorted(starts, begin)].tolist()
         out = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
         whole = np.flatnonzero(doubt).tolist()
@@ -269,8 +272,6 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One for each worker process: loading a vocabulary takes time."""
     if path not in _encoders:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _encoders[path] = Encoder(path)
     return _encoders[path]
