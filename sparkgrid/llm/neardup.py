@@ -49,7 +49,7 @@ REGISTERS = 720
 LIKELIHOOD_GAP = 9.0
 #: Share of a round's plausible pairs that are links below which all that is left is compared,
 #: rounds before that anyway, and classes of a block of a large bucket.
-LEAST_YIELD, MOST_ROUNDS, BLOCK = 0.5, 6, 512
+LEAST_YIELD, MOST_ROUNDS, BLOCK = 0.5, 6, 2048
 
 
 def sketch(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
