@@ -94,3 +94,34 @@ def test_thresholds_cover_labels_beyond_the_sample(spark, documents, monkeypatch
     monkeypatch.setattr(toxicity, "small_side", lambda df: df)
     _, shuffled = toxicity.train(documents(docs), known, max_rows=300)
     assert shuffled.keys() == thresholds.keys() and all(abs(shuffled[k] - thresholds[k]) < 1e-6 for k in shuffled)
+
+
+def plain_score(net, text):
+    """The forward pass word by word: embeddings, filters at every place, the largest response of each, a sum."""
+    words = "".join(c if c.encode()[0] >= 128 or c.isascii() and c.isalnum() else " " for c in text).split()
+    vectors = []
+    for word in words:
+        pieces = [word] + [word.encode()[:n] for n in toxicity.PREFIXES if len(word.encode()) > n]
+        ids, _ = toxicity.word_ids(pa.array([word]))
+        buckets = [b for b in ids[0].tolist() if b != toxicity.PAD]
+        assert len(buckets) == len(pieces)
+        vectors.append(sum(net.embedding[b].astype(float) for b in buckets))
+    vectors += [np.zeros(toxicity.EMBEDDING)] * max(toxicity.WIDTHS)
+    pooled, at = [], 0
+    for width, bias in zip(toxicity.WIDTHS, net.bias, strict=True):
+        responses = [sum(vectors[p + j] @ net.filters[at + j].astype(float) for j in range(width)) for p in range(len(vectors) - width + 1)]
+        pooled += np.maximum(np.max(responses, axis=0) + bias, 0).tolist()
+        at += width
+    logit = float(np.dot(pooled, net.out) + net.shift)
+    return 1 / (1 + np.exp(-(net.a * logit + net.b)))
+
+
+def test_query_against_a_plain_forward_pass(spark, documents):
+    net, thresholds = fitted(spark, documents, 300)
+    docs, _ = corpus(40, 9)
+    docs += [(900, "", "en", "s"), (901, None, "xx", "s"), (902, "one", None, "s"), (903, "Ünïcödé, VILESTEMed! \U0001f600 it's", "en", "s")]
+    rows = toxicity.score(documents(docs), net, thresholds).collect()
+    for r in rows:
+        expected = plain_score(net, r["text"] or "")
+        assert abs(r["score"] - expected) < 1e-4
+        assert r["flagged"] == (r["score"] >= thresholds.get(r["lang"] or "", thresholds[""]))
