@@ -29,10 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/sparkgrid"
 
 
-def stored(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a read of it; ``codec`` is Parquet's, the session's if none."""
+def stored(df: DataFrame, label: str, codec: str | None = None, options: dict[str, int] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a read of it.
+
+    ``codec`` is Parquet's, the session's if none; ``options`` are the writer's.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    df.write.options(**(options or {})).parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
