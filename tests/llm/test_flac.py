@@ -27,6 +27,23 @@ def test_round_trip(how):
         assert [f for f, _ in blocks] == list(range(0, len(p), flac.BLOCK))
 
 
+def test_palette():
+    data = [flac.payload(p) for p in payloads()]
+    coded = [flac.ranked(p) for p in data]
+    streams = flac.encode([c for c, _ in coded], palettes=[p for _, p in coded])
+    assert [pcm_bytes(b) for b in flac.decode(streams)] == data
+    bare = []
+    for s, (_, p) in zip(streams, coded, strict=True):
+        end = 42 + 4 + 4 + len(p)  # stream info, then the palette
+        table = int.from_bytes(s[end + 1 : end + 4], "big")
+        bare.append(s[:42] + b"\x82" + s[43:end] + s[end + 4 + table :])
+    assert [pcm_bytes(b) for b in flac.decode(bare)] == data
+    assert flac.ranked(b"abcbcc") == (bytes([129, 127, 128, 127, 128, 128]), b"cba")
+    text = flac.payload(b"Rice codes are short where samples are small, and letters are not. " * 90)
+    c, p = flac.ranked(text)
+    assert len(flac.encode([c], palettes=[p])[0]) < 0.65 * len(flac.encode([text])[0])
+
+
 def test_compresses_and_seeks():
     smooth = bytes(int(128 + 60 * np.sin(k / 40)) for k in range(20_000))
     (stream,) = flac.encode([smooth])
