@@ -539,10 +539,10 @@ def payload(text: bytes) -> bytes:
     return text + bytes(PAD - len(text) % PAD if len(text) % PAD or not text else 0)
 
 
-def features(pcm: np.ndarray) -> str:
-    """Figures of the samples: count, sum, energy, sign changes, range."""
+def figures(pcm: np.ndarray) -> tuple[int, ...]:
+    """Features of the samples: sum, energy, sign changes, least and largest."""
     x = pcm.astype(np.int64)
-    return f"n={len(x)};sum={int(x.sum())};energy={int((x * x).sum())};crossings={int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))};range={int(x.min())}..{int(x.max())}"
+    return int(x.sum()), int((x * x).sum()), int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0))), int(x.min()), int(x.max())
 
 
 MEDIA = "doc_id long, n_bytes long, media binary"
@@ -563,11 +563,15 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return rows.mapInArrow(run, MEDIA)
 
 
+#: Figures of a whole text: digests are raw and features apart, as both pack better so.
+WHOLE = pa.struct(
+    [("n_bytes", pa.int64()), ("samples", pa.int64()), ("sha256", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.binary())]
+    + [(name, pa.int64()) for name in ("sum", "energy", "crossings", "least", "largest")]
+)
 BLOCKS = (
-    "doc_id long, row long, first_sample long, n_samples int, pcm binary, "
-    "whole struct<n_bytes:long,samples:long,sha256:string,media_bytes:long,media_sha256:string,feature:string>"
+    "doc_id long, row long, first_sample long, n_samples int, pcm binary, whole struct<n_bytes:long,samples:long,sha256:binary,"
+    "media_bytes:long,media_sha256:binary,sum:long,energy:long,crossings:long,least:long,largest:long>"
 )
-WHOLE = pa.struct([("n_bytes", pa.int64()), ("samples", pa.int64()), ("sha256", pa.string()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -584,7 +588,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
             for i, row, size, stream, blocks in zip(piece.column("doc_id").to_pylist(), piece.column("row").to_pylist(), piece.column("n_bytes").to_pylist(), streams, decode(streams), strict=True):
                 pcm = np.concatenate([b for _, b in blocks])
                 back = (pcm.view(np.uint8) ^ 0x80).tobytes()
-                whole = (size, len(back), hashlib.sha256(back).hexdigest(), len(stream), hashlib.sha256(stream).hexdigest(), features(pcm))
+                whole = (size, len(back), hashlib.sha256(back).digest(), len(stream), hashlib.sha256(stream).digest(), *figures(pcm))
                 rows += [(i, row, first, len(b), b.tobytes(), None) for first, b in blocks[:-1]]
                 rows.append((i, row, blocks[-1][0], len(blocks[-1][1]), blocks[-1][1].tobytes(), dict(zip((f.name for f in WHOLE), whole, strict=True))))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), WHOLE)
@@ -610,15 +614,16 @@ def summaries(blocks: DataFrame) -> DataFrame:
     tail = samples_at(whole["samples"] - PAD, F.lit(PAD).cast("long"))
     # A CRC-32 is affine: that of the bytes follows from that of the samples, which are the bytes less 128.
     turned = zlib.crc32(b"\x80" * PAD) ^ zlib.crc32(bytes(PAD))
+    feature = F.format_string("n=%d;sum=%d;energy=%d;crossings=%d;range=%d..%d", *[whole[c] for c in ("samples", "sum", "energy", "crossings", "least", "largest")])
     return blocks.filter(whole.isNotNull()).select(
         "doc_id",
         whole["n_bytes"].alias("n_bytes"),
         whole["samples"].alias("payload_bytes"),
-        whole["sha256"].alias("payload_sha256"),
+        F.lower(F.hex(whole["sha256"])).alias("payload_sha256"),
         F.crc32(tail).bitwiseXOR(F.lit(turned)).alias("tail_crc32"),
         whole["media_bytes"].alias("media_bytes"),
-        whole["media_sha256"].alias("media_sha256"),
-        whole["feature"].alias("feature"),
+        F.lower(F.hex(whole["media_sha256"])).alias("media_sha256"),
+        feature.alias("feature"),
     )
 
 
