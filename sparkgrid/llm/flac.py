@@ -37,6 +37,8 @@ from sparkgrid.llm.arrowtext import bounds, slices
 from sparkgrid.scratch import discard, stored
 
 BLOCK = 1024
+#: Frames that are coded side by side, but for those of one text.
+FRAMES = 2048
 RATE = 8000
 PAD = 64
 #: Order of the linear predictors that are fitted, and bits of a weight.
@@ -50,6 +52,7 @@ TIGHT = {"parquet.compression.codec.zstd.level": 12, "parquet.page.size": 8 << 2
 BY_RANK = np.array([(r >> 1 ^ -(r & 1)) + 128 for r in range(256)], np.uint8)
 #: Block sizes by their four-bit code in a frame header; 6 and 7 follow the header.
 SIZES = {1: 192, **{c: 576 << (c - 2) for c in range(2, 6)}, **{c: 256 << (c - 8) for c in range(8, 16)}}
+CODES = {size: code for code, size in SIZES.items()}
 
 
 class FlacError(ValueError):
@@ -108,7 +111,7 @@ def coded_number(n: int) -> bytes:
 
 @lru_cache(1 << 16)
 def frame_header(number: int, size: int) -> bytes:
-    code = 10 if size == BLOCK else 7
+    code = CODES.get(size, 7)
     head = b"\xff\xf8" + bytes([code << 4, 1 << 1]) + coded_number(number) + (struct.pack(">H", size - 1) if code == 7 else b"")
     return head + bytes([crc8(head)])
 
@@ -169,7 +172,7 @@ def ranked(data: bytes) -> tuple[bytes, bytes]:
     return data.translate(table.tobytes()), palette.tobytes()
 
 
-def encode(payloads: list[bytes], coefficients: tuple[int, ...] | None = None, shift: int = 0, palettes: list[bytes] | None = None) -> list[bytes]:
+def encode(payloads: list[bytes], coefficients: tuple[int, ...] | None = None, shift: int = 0, palettes: list[bytes] | None = None, block: int = BLOCK) -> list[bytes]:
     """A FLAC stream for each payload, whose bytes less 128 are the samples; ``palettes`` are kept with them.
 
     Each frame has the shortest of its fixed predictors of order 0 to 2, the linear
@@ -179,12 +182,17 @@ def encode(payloads: list[bytes], coefficients: tuple[int, ...] | None = None, s
     sizes: list[int] = []
     owner: list[int] = []
     for i, p in enumerate(payloads):
-        for at in range(0, len(p), BLOCK):
-            sizes.append(min(BLOCK, len(p) - at))
+        for at in range(0, len(p), block):
+            sizes.append(min(block, len(p) - at))
             owner.append(i)
+    if len(sizes) > FRAMES and len(payloads) > 1:
+        half = len(payloads) // 2
+        parts = (slice(0, half), slice(half, None))
+        return [m for s in parts for m in encode(payloads[s], coefficients, shift, palettes and palettes[s], block)]
     count = np.array(sizes, np.int64)
-    grid = np.zeros((len(sizes), BLOCK), np.int32)
-    inside = np.arange(BLOCK)[None, :] < count[:, None]
+    width = max(sizes, default=PAD)
+    grid = np.zeros((len(sizes), width), np.int32)
+    inside = np.arange(width)[None, :] < count[:, None]
     raw = np.frombuffer(b"".join(payloads), np.uint8)
     grid[inside] = raw.astype(np.int32) - 128
     best = (count * 8).astype(np.int64)  # verbatim
@@ -258,13 +266,13 @@ def encode(payloads: list[bytes], coefficients: tuple[int, ...] | None = None, s
         seek, whole, offset, lengths_ = [], [], 0, []
         while f < len(frames) and owner[f] == i:
             whole.append(frames[f] + sums[2 * f : 2 * f + 2])
-            seek.append(struct.pack(">QQH", numbers[f] * BLOCK, offset, sizes[f]))
+            seek.append(struct.pack(">QQH", numbers[f] * block, offset, sizes[f]))
             offset += len(whole[-1])
             lengths_.append(len(whole[-1]))
             f += 1
         tail = (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big")
         digest = hashlib.md5((np.frombuffer(p, np.uint8) ^ 0x80).tobytes()).digest()
-        info = struct.pack(">HH", BLOCK, BLOCK) + min(lengths_, default=0).to_bytes(3, "big") + max(lengths_, default=0).to_bytes(3, "big") + tail + digest
+        info = struct.pack(">HH", block, block) + min(lengths_, default=0).to_bytes(3, "big") + max(lengths_, default=0).to_bytes(3, "big") + tail + digest
         points = b"".join(seek)
         colours = b"" if palettes is None else b"\x02" + (len(PALETTE) + len(palettes[i])).to_bytes(3, "big") + PALETTE + palettes[i]
         out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + colours + b"\x83" + len(points).to_bytes(3, "big") + points + b"".join(whole))
@@ -548,15 +556,15 @@ def figures(pcm: np.ndarray) -> tuple[int, ...]:
 MEDIA = "doc_id long, n_bytes long, media binary"
 
 
-def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A FLAC stream for each text: doc_id, n_bytes and the column ``media``."""
+def store(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """A FLAC stream for each text, in frames of ``block`` samples: doc_id, n_bytes and the column ``media``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
             data, begin = bounds(piece.column("text"))
             raw = data.tobytes()
             coded = [ranked(payload(raw[a:b])) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            media = encode([c for c, _ in coded], palettes=[p for _, p in coded])
+            media = encode([c for c, _ in coded], palettes=[p for _, p in coded], block=block)
             yield pa.RecordBatch.from_arrays([piece.column("id").cast(pa.int64()), pa.array(np.diff(begin)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -627,9 +635,9 @@ def summaries(blocks: DataFrame) -> DataFrame:
     )
 
 
-def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Texts as FLAC streams in a table of the shared folder, and their PCM blocks, decoded from it, in another, which is returned."""
-    media = stored(store(docs, key, text), "flac", "zstd", TIGHT)
+    media = stored(store(docs, key, text, block), "flac", "zstd", TIGHT)
     blocks = stored(pcm_blocks(media), "pcm", "zstd", TIGHT)
     discard(media)
     return blocks

@@ -14,6 +14,8 @@ from sparkgrid.scratch import stored
 #: The key of the pseudonyms; a deployment passes its own secret.
 PSEUDONYM_KEY = b"sparkgrid-example-key"
 VOCABULARY = "byte_bpe_50k.json"
+#: Samples of a frame of a text's stream.
+FRAME = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +61,7 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.summaries(flac.keep(table(spark, sf_dir, "documents")))
+    return flac.summaries(flac.keep(table(spark, sf_dir, "documents"), block=FRAME))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,17 @@ def test_compresses_and_seeks():
     assert (block.view(np.uint8) ^ 0x80).tobytes() == smooth[5 * flac.BLOCK : 6 * flac.BLOCK] and total == 20_000
 
 
+@pytest.mark.parametrize("block", [192, 1000, 2048])
+def test_blocks_of_other_sizes(block, monkeypatch):
+    data = [flac.payload(p) for p in payloads()]
+    streams = flac.encode(data, block=block)
+    for p, blocks in zip(data, flac.decode(streams), strict=True):
+        assert pcm_bytes(blocks) == p
+        assert [f for f, _ in blocks] == list(range(0, len(p), block))
+    monkeypatch.setattr(flac, "FRAMES", 3)
+    assert flac.encode(data, block=block) == streams
+
+
 def without_seek_table(stream):
     at = stream.index(b"\x83", 40)
     size = int.from_bytes(stream[at + 1 : at + 4], "big")
